@@ -18,9 +18,13 @@ def payment_label(code: Column) -> Column:
 
 
 def elapsed_minutes(start: Column, end: Column) -> Column:
-    """Elapsed minutes with fractions kept; negative when the end precedes the start."""
-    micros = F.timestamp_diff("MICROSECOND", start, end)
-    return micros / F.lit(1e6) / F.lit(60.0)
+    """Elapsed minutes with fractions kept; negative when the end precedes the start.
+
+    Takes the difference of zone-free timestamps as an interval, which no clock change of the
+    session time zone affects; TIMESTAMPDIFF would go through zoned timestamps.
+    """
+    seconds = (end - start).cast("interval second").cast("decimal(18,6)")
+    return seconds.cast("double") / F.lit(60.0)
 
 
 def revenue(variant: str = "fare") -> Column:

@@ -12,10 +12,9 @@ from tripledger.operators.joins import distinct_ids, fits_broadcast, flag_unknow
 
 def dim_zones(raw_zones: DataFrame) -> DataFrame:
     """Every row of the lookup, renamed and cast."""
+    types = {field.name.lower(): field.dataType for field in raw_zones.schema}
     return raw_zones.select(
-        to_bigint(F.col("LocationID"), raw_zones.select("LocationID").schema[0].dataType).alias(
-            "zone_id"
-        ),
+        to_bigint(F.col("LocationID"), types["locationid"]).alias("zone_id"),
         F.col("Borough").cast("string").alias("borough"),
         F.col("Zone").cast("string").alias("zone_name"),
         F.col("service_zone").cast("string").alias("service_zone"),

@@ -1,6 +1,7 @@
 """From raw trips to staged trips: rename, cast, derive, filter, account for rejects."""
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,8 +15,10 @@ def rename_cast(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """The eleven contract columns, strictly cast: a malformed value fails the job (ANSI).
     Columns to ``keep`` pass through."""
 
+    types = {field.name.lower(): field.dataType for field in raw.schema}
+
     def bigint(name: str) -> Column:
-        return to_bigint(F.col(name), raw.select(name).schema[0].dataType)
+        return to_bigint(F.col(name), types[name.lower()])
 
     return raw.select(
         F.col("tpep_pickup_datetime").cast("timestamp_ntz").alias("pickup_datetime"),
@@ -66,9 +69,7 @@ def quality_rules(bounds: Bounds) -> list[tuple[str, Column]]:
 def quality_filter(trips: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
     """Rows that meet every rule; a rule that is NULL rejects. Negative fares, tips and tolls
     stay as long as the total passes."""
-    for _, good in quality_rules(bounds):
-        trips = trips.where(good)
-    return trips
+    return trips.where(reduce(Column.__and__, (good for _, good in quality_rules(bounds))))
 
 
 def classify_rejects(trips: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:

@@ -53,7 +53,11 @@ def latest(spark: SparkSession, path: str, key: str) -> DataFrame:
 
 
 def stream_ingest(
-    trips: DataFrame, dim: DataFrame, target: str, bounds: Bounds = Bounds()
+    trips: DataFrame,
+    dim: DataFrame,
+    target: str,
+    bounds: Bounds = Bounds(),
+    checkpoint: str | None = None,
 ) -> StreamingQuery:
     """Maintain ``<target>/facts`` and ``<target>/daily`` from a stream of raw trips.
 
@@ -79,7 +83,7 @@ def stream_ingest(
         affected = lookup_join(facts, touched, on, "left_semi")
         _replace(daily_metrics(affected), f"{target}/daily/batch={batch}")
 
-    return _run(trips, "append", f"{target}/checkpoint", one_batch)
+    return _run(trips, "append", checkpoint or f"{target}/checkpoint", one_batch)
 
 
 def stream_rejects(
