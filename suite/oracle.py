@@ -192,6 +192,17 @@ MISSING_ZONE = """
 
 BASE = [RAW, RAW_ZONES, DIM, typed(), stg(), fct()]
 
+CORRECTED = [
+    RAW.replace("raw AS", "original AS"),
+    """
+raw AS (
+    SELECT * REPLACE (CASE WHEN DATE_TRUNC('month', tpep_dropoff_datetime) = TIMESTAMP '1998-03-01'
+        THEN fare_amount + 1 ELSE fare_amount END AS fare_amount)
+    FROM original
+)""",
+    *BASE[1:],
+]
+
 RECORDS = """
 records AS (
     SELECT 'events' AS run_id, event_type AS implementation, 'u' || user_id AS scenario,
@@ -522,15 +533,8 @@ def oracles() -> dict[str, str]:
             zone_monthly("restated", "DATE_TRUNC('quarter', pickup_date) <> DATE '1998-04-01'"),
         ),
         "touched_dates": all_daily,
-        "restated_daily": sql(
-            "SELECT * FROM daily_metrics",
-            RAW.replace("raw AS", "original AS"),
-            "\nraw AS (SELECT * REPLACE (CASE WHEN DATE_TRUNC('month', tpep_dropoff_datetime) = "
-            "TIMESTAMP '1998-03-01' THEN fare_amount + 1 ELSE fare_amount END AS fare_amount) "
-            "FROM original)",
-            *BASE[1:],
-            daily(),
-        ),
+        "restated_daily": sql("SELECT * FROM daily_metrics", *CORRECTED, daily()),
+        "restated_monthly": sql("SELECT * FROM monthly_metrics", *CORRECTED, daily(), monthly()),
         "logic_change_diff": sql(
             "SELECT *, differing_rows = 0 AS equivalent FROM ("
             + "\nUNION ALL\n".join(changed)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tripledger.contract import TABLES
 from tripledger.operators import compare, facts, groups, metrics, quality, records, refresh, staging
-from tripledger.plans.build import build_summary, build_tables
+from tripledger.plans.build import build_summary, build_tables, restate
 from tripledger.plans.publish import audit_publish, environment_checksums, point_views
 from tripledger.sources import files, fixture, months, sinks, zones
 from tripledger.sources.orders import ORDER_BOUNDS, order_trips, order_zones, table
@@ -382,6 +382,18 @@ def restated_daily(spark, sf):
     )
 
 
+@query
+def restated_monthly(spark, sf):
+    raw, raw_zones = order_trips(spark, sf), order_zones(spark, sf)
+    before = build_tables(raw, raw_zones, ORDER_BOUNDS)
+    in_file = F.trunc("tpep_dropoff_datetime", "MM") == F.lit(dt.date(1998, 3, 1))
+    corrected = raw.where(~in_file).unionAll(staging.correct_fares(raw.where(in_file)))
+    after = restate(
+        before, corrected, raw_zones, dt.date(1997, 3, 1), dt.date(1998, 3, 31), ORDER_BOUNDS
+    )
+    return after.table(spark, "monthly_metrics")
+
+
 @query
 def logic_change_diff(spark, sf):
     before = _build(spark, sf)

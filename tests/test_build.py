@@ -10,8 +10,9 @@ from tripledger.contract import TABLES
 from tripledger.operators.compare import compare_all, table_checksum
 from tripledger.operators.facts import between_dates
 from tripledger.operators.quality import QualityError
+from tripledger.operators.refresh import facts_of_dates, since_last_date
 from tripledger.operators.staging import correct_fares
-from tripledger.plans.build import build_from_files, build_summary, build_tables, report_for
+from tripledger.plans.build import build_from_files, build_summary, build_tables, report_for, restate
 from tripledger.plans.publish import audit_publish, environment_checksums, point_views
 from tripledger.sources.fixture import zone_rows
 from tripledger.sources.months import read_months
@@ -101,10 +102,21 @@ def test_new_month_and_shrinking_selection(spark, raw_dir, half_year):
 
 def test_facts_are_read_by_month(spark, half_year):
     stored = spark.read.parquet(half_year.paths["fct_trips"])
+    late = since_last_date(half_year.facts(spark), spark.sql("SELECT DATE '2025-05-15' AS date"))
+    assert late.count() == 6 + 7
+    dates = spark.sql("SELECT DATE '2025-02-01' AS date")
+    some = facts_of_dates(half_year.facts(spark), dates)
+    assert some.count() == 1
+    assert "pickup_month" in partition_filters(some)
+    assert "subquery" in partition_filters(late)
     march = between_dates(stored, dt.date(2025, 3, 2), dt.date(2025, 3, 31))
     assert march.count() == 6
-    plan = march._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(pickup_month" in plan
+    assert "pickup_month" in partition_filters(march)
+
+
+def partition_filters(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.split("PartitionFilters: ")[1].split("PushedFilters")[0]
 
 
 def test_corrected_history_and_revenue_variant(spark, raw_dir):
@@ -115,6 +127,24 @@ def test_corrected_history_and_revenue_variant(spark, raw_dir):
     assert total == 183.0
 
 
+def test_restatement_replaces_only_its_range(spark, raw_dir, half_year):
+    march = read_months(spark, raw_dir, 2025, 1, 3)
+    others = read_months(spark, raw_dir, 2025, 2).unionByName(read_months(spark, raw_dir, 2025, 3, 4))
+    raw = others.unionByName(correct_fares(march))
+    full = build_tables(raw, zone_rows(spark))
+    bounds = (dt.date(2025, 3, 1), dt.date(2025, 3, 31))
+    done = restate(half_year, raw, zone_rows(spark), *bounds)
+    assert as_set(done.table(spark, "daily_metrics")) == as_set(full.table(spark, "daily_metrics"))
+    assert as_set(done.table(spark, "monthly_metrics")) == as_set(
+        full.table(spark, "monthly_metrics")
+    )
+    april = (dt.date(2025, 4, 1), dt.date(2025, 4, 30))
+    stale = restate(half_year, raw, zone_rows(spark), *april)
+    assert as_set(stale.table(spark, "daily_metrics")) == as_set(
+        half_year.table(spark, "daily_metrics")
+    )
+
+
 def test_correction_leaves_bad_fares_alone(spark):
     raw = spark.sql(
         "SELECT * FROM VALUES (1, 2.0D), (2, CAST('NaN' AS DOUBLE)), (3, NULL), "

@@ -60,9 +60,42 @@ def test_salted_join_equals_broadcast_join(spark, how):
     if how in ("left_semi", "left_anti"):
         lookup = lookup.select("z")
     small = joins.lookup_join(rows, lookup, [("k", "z")], how, small=True)
-    large = joins.lookup_join(rows, lookup, [("k", "z")], how, small=False)
-    assert small.columns == large.columns
-    assert as_set(small) == as_set(large)
+    shuffled = joins.lookup_join(rows, lookup, [("k", "z")], how, small=False)
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "false")
+    try:
+        salted = joins.lookup_join(rows, lookup, [("k", "z")], how, small=False)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.skewJoin.enabled")
+    assert "_salt" in plan_of(salted) and "_salt" not in plan_of(shuffled)
+    assert small.columns == shuffled.columns == salted.columns
+    assert as_set(small) == as_set(shuffled) == as_set(salted)
+
+
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_hot_key_is_split(spark, how):
+    """A key with a third of all rows is read by several tasks of the join."""
+    spark.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "10KB")
+    spark.conf.set("spark.sql.adaptive.skewJoin.skewedPartitionFactor", "2")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "20KB")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = spark.range(0, 200_000, 1, 16).select(
+            "id", F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("k")
+        )
+        lookup = spark.range(200_000).select(F.col("id").alias("z"), F.lit("n").alias("name"))
+        joined = joins.lookup_join(rows, lookup, [("k", "z")], how, small=False)
+        count = joined.groupBy(F.col("id") % 2).count()
+        total = sum(row["count"] for row in count.collect())
+        assert total == (0 if how == "left_anti" else 200_000)
+        assert "skew=true" in plan_of(count)
+    finally:
+        for name in (
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes",
+            "spark.sql.autoBroadcastJoinThreshold",
+        ):
+            spark.conf.unset(name)
 
 
 def test_broadcast_is_checked(spark):

@@ -194,44 +194,81 @@ _REPORT = (
 )
 
 
-def compare_table(name: str, candidate: str, left: DataFrame, right: DataFrame) -> DataFrame:
-    """One report row for one table. ``differing_rows`` sums the absolute copy differences;
-    NaN or infinity on either side rules equivalence out."""
-    same = not schema_diff(left, right)
-    if same:
-        doubles = [F.col(f.name) for f in left.schema if f.dataType == T.DoubleType()]
-        bad = reduce(Column.__or__, (~is_finite(c) for c in doubles), F.lit(False))
-        counts = _copies(left, right).agg(
-            F.sum("left_copies").alias("baseline_rows"),
-            F.sum("right_copies").alias("candidate_rows"),
-            F.sum(F.abs(F.col("right_copies") - F.col("left_copies"))).alias("differing_rows"),
-            failures(bad).alias("nonfinite_rows"),
+def _any_nonfinite(df: DataFrame) -> Column:
+    doubles = (F.col(f.name) for f in df.schema if f.dataType == T.DoubleType())
+    return reduce(Column.__or__, (~is_finite(c) for c in doubles), F.lit(False))
+
+
+def _counted(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Counts from matching all rows of the two tables."""
+    return _copies(left, right).agg(
+        F.sum("left_copies").alias("baseline_rows"),
+        F.sum("right_copies").alias("candidate_rows"),
+        F.coalesce(
+            F.sum(F.abs(F.col("right_copies") - F.col("left_copies"))), F.lit(0)
+        ).alias("differing_rows"),
+        failures(_any_nonfinite(left)).alias("nonfinite_rows"),
+    ).withColumn("_equal", F.col("differing_rows") == 0)
+
+
+def _checksummed(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Counts from one checksum pass per table; no row is shuffled."""
+    sides = [
+        df.select(
+            row_fingerprint(df.columns).alias("fingerprint"), _any_nonfinite(df).alias("bad")
         )
+        .agg(*checksum_columns("fingerprint"), failures(F.col("bad")).alias("bad"))
+        .withColumn("side", F.lit(side))
+        for side, df in (("l", left), ("r", right))
+    ]
+    return sides[0].unionAll(sides[1]).agg(
+        F.max(F.when(F.col("side") == "l", F.col("row_count"))).alias("baseline_rows"),
+        F.max(F.when(F.col("side") == "r", F.col("row_count"))).alias("candidate_rows"),
+        F.lit(None).cast("bigint").alias("differing_rows"),
+        F.sum("bad").alias("nonfinite_rows"),
+        (F.min(F.struct("row_count", "checksum")) == F.max(F.struct("row_count", "checksum"))).alias(
+            "_equal"
+        ),
+    )
+
+
+def _row_counts(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Row counts alone, for tables whose rows cannot be compared."""
+    sides = left.select(F.lit(1).alias("l"), F.lit(0).alias("r")).unionAll(
+        right.select(F.lit(0).alias("l"), F.lit(1).alias("r"))
+    )
+    return sides.agg(
+        F.sum("l").alias("baseline_rows"),
+        F.sum("r").alias("candidate_rows"),
+        F.lit(None).cast("bigint").alias("differing_rows"),
+        F.lit(None).cast("bigint").alias("nonfinite_rows"),
+        F.lit(False).alias("_equal"),
+    )
+
+
+def compare_table(
+    name: str, candidate: str, left: DataFrame, right: DataFrame, count_differences: bool = True
+) -> DataFrame:
+    """One report row for one table. ``differing_rows`` sums the absolute copy differences;
+    NaN or infinity on either side rules equivalence out. Without ``count_differences`` the
+    verdict comes from checksums, which spares large tables the shuffle of their rows."""
+    problems = schema_diff(left, right)
+    if problems:
+        counts = _row_counts(left, right)
     else:
-        sides = left.select(F.lit(1).alias("l"), F.lit(0).alias("r")).unionAll(
-            right.select(F.lit(0).alias("l"), F.lit(1).alias("r"))
-        )
-        counts = sides.agg(
-            F.sum("l").alias("baseline_rows"),
-            F.sum("r").alias("candidate_rows"),
-            F.lit(None).cast("bigint").alias("differing_rows"),
-            F.lit(None).cast("bigint").alias("nonfinite_rows"),
-        )
+        counts = (_counted if count_differences else _checksummed)(left, right)
     zero = F.lit(0).cast("bigint")
-    differing = F.coalesce("differing_rows", zero) if same else F.col("differing_rows")
-    equal = (differing == 0) & (F.col("nonfinite_rows") == 0) if same else F.lit(False)
-    error = F.when(F.col("nonfinite_rows") > 0, "non-finite values") if same else F.lit(
-        "; ".join(schema_diff(left, right))
-    )
+    clean = F.coalesce(F.col("nonfinite_rows") == 0, F.lit(False))
+    error = F.lit("; ".join(problems)) if problems else F.when(~clean, "non-finite values")
     return counts.select(
         F.lit(name).alias("table_name"),
         F.lit(candidate).alias("candidate"),
-        F.lit(same).alias("same_schema"),
+        F.lit(not problems).alias("same_schema"),
         F.coalesce("baseline_rows", zero).alias("baseline_rows"),
         F.coalesce("candidate_rows", zero).alias("candidate_rows"),
-        differing.alias("differing_rows"),
+        "differing_rows",
         "nonfinite_rows",
-        equal.alias("equivalent"),
+        (F.col("_equal") & clean).alias("equivalent"),
         error.alias("error"),
     )
 
@@ -240,6 +277,7 @@ def compare_all(
     spark: SparkSession,
     baseline: dict[str, DataFrame | None],
     candidates: dict[str, dict[str, DataFrame | None]],
+    count_differences: bool = True,
 ) -> DataFrame:
     """Compare every table of every candidate with the baseline, in one report. A table that
     either side lacks is a reported error."""
@@ -252,7 +290,7 @@ def compare_all(
                 row = (name, label, None, None, None, None, None, False, f"{name} missing in {gone}")
                 reports.append(spark.createDataFrame([row], _REPORT))
             else:
-                reports.append(compare_table(name, label, left, right))
+                reports.append(compare_table(name, label, left, right, count_differences))
     if not reports:
         raise ValueError("nothing to compare")
     return reduce(DataFrame.unionAll, reports)

@@ -2,7 +2,7 @@
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BROADCAST_ROWS = 500_000
@@ -23,6 +23,12 @@ def fits_broadcast(
     return size.n <= max_rows and size.bytes <= max_bytes
 
 
+def splits_skew(spark: SparkSession) -> bool:
+    """Whether adaptive execution splits skewed join partitions in this session."""
+    needed = ("spark.sql.adaptive.enabled", "spark.sql.adaptive.skewJoin.enabled")
+    return all(spark.conf.get(name) == "true" for name in needed)
+
+
 def lookup_join(
     rows: DataFrame,
     lookup: DataFrame,
@@ -33,10 +39,11 @@ def lookup_join(
     """Join ``rows`` to a lookup on pairs of (row column, lookup column).
 
     A lookup that measures small is broadcast, and ``rows`` stays where it is. A larger one is
-    joined by shuffle on the key and a salt: the lookup is repeated once per salt, so a key
-    that holds a large share of ``rows`` is spread over many tasks. Both ways give the same
-    rows. Column names of the two sides must differ. ``how`` keeps or filters ``rows`` (inner,
-    left, left_semi, left_anti).
+    joined by shuffle, and a key that holds a large share of ``rows`` must not end up in one
+    task: adaptive execution splits such partitions, and where it is switched off the key is
+    salted, with one copy of the lookup per salt. All ways give the same rows. Column names of
+    the two sides must differ. ``how`` keeps or filters ``rows`` (inner, left, left_semi,
+    left_anti).
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how!r}")
@@ -45,6 +52,8 @@ def lookup_join(
     keys = [F.col(left) == F.col(right) for left, right in on]
     if small:
         return rows.join(F.broadcast(lookup), keys, how)
+    if splits_skew(rows.sparkSession):
+        return rows.join(lookup, keys, how)
     salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)))
     copies = lookup.withColumn(
         "_lookup_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>"))

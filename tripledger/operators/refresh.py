@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tripledger.operators.facts import PARTITION
 from tripledger.operators.joins import lookup_join
 from tripledger.sources.workdir import materialize
 
@@ -23,12 +24,15 @@ def delete_insert(target: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return replace_keys(target, new, new.select(key).distinct(), key)
 
 
-def since_last_date(fct: DataFrame, target: DataFrame, date: str = "pickup_date") -> DataFrame:
+def since_last_date(fct: DataFrame, target: DataFrame) -> DataFrame:
     """Facts from the target's last date on. That date is included, since it may have been
-    incomplete; facts that arrive late for older dates are not."""
+    incomplete; facts that arrive late for older dates are not. Of stored facts only the months
+    from that date on are read."""
     earliest = F.make_date(F.lit(1), F.lit(1), F.lit(1))
-    last = target.agg(F.coalesce(F.max("date"), earliest)).scalar()
-    return fct.where(F.col(date) >= last)
+    last = F.coalesce(F.max("date"), earliest)
+    if PARTITION in fct.columns:
+        fct = fct.where(F.col(PARTITION) >= target.agg(F.trunc(last, "MM")).scalar())
+    return fct.where(F.col("pickup_date") >= target.agg(last).scalar())
 
 
 def overwrite_range(
@@ -39,9 +43,20 @@ def overwrite_range(
     return target.where(~inside).unionByName(new.where(inside))
 
 
-def touched_dates(rows: DataFrame, date: str = "pickup_date") -> DataFrame:
-    """The dates that occur in a set of rows."""
-    return rows.select(date).distinct()
+def touched_dates(rows: DataFrame) -> DataFrame:
+    """The pickup dates that occur in a set of facts."""
+    return rows.select(F.col("pickup_date").alias("date")).distinct()
+
+
+def facts_of_dates(fct: DataFrame, dates: DataFrame) -> DataFrame:
+    """The facts of some dates. Of stored facts only the months of these dates are read: the
+    list of months is fetched, which the calendar keeps short, so that Spark prunes the folders
+    while planning."""
+    if PARTITION in fct.columns:
+        months = dates.select(F.trunc("date", "MM")).distinct().collect()
+        fct = fct.where(F.col(PARTITION).isin([row[0] for row in months]))
+    listed = dates.select(F.col("date").alias("_date"))
+    return lookup_join(fct, listed, [("pickup_date", "_date")], "left_semi")
 
 
 def refresh_touched(
@@ -49,16 +64,14 @@ def refresh_touched(
     fct: DataFrame,
     new_rows: DataFrame,
     build: Callable[[DataFrame], DataFrame],
-    date: str = "pickup_date",
 ) -> DataFrame:
     """Rebuild exactly the dates found in newly arrived rows, however old they are.
 
-    ``fct`` holds all facts, the new ones included; ``build`` turns facts into target rows.
+    ``fct`` holds all facts, the new ones included; ``build`` turns facts into target rows with
+    a ``date``.
     """
-    dates = materialize(touched_dates(new_rows, date), "touched")
-    listed = dates.select(F.col(date).alias("_touched"))
-    affected = lookup_join(fct, listed, [(date, "_touched")], "left_semi")
-    return replace_keys(target, build(affected), dates.withColumnRenamed(date, "date"), "date")
+    dates = materialize(touched_dates(new_rows), "touched")
+    return replace_keys(target, build(facts_of_dates(fct, dates)), dates, "date")
 
 
 def overwrite_partitions(new: DataFrame, path: str, key: str) -> None:

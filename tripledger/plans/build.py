@@ -1,15 +1,18 @@
 """Build the six tables from raw input."""
 
+import datetime as dt
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import DateType, StructField, StructType
 
 from tripledger.contract import MONTH_FILE, TABLES, ZONE_FILE, Bounds
-from tripledger.operators.facts import PARTITION, dim_zones, fct_trips, write_facts
+from tripledger.operators.facts import PARTITION, between_dates, dim_zones, fct_trips, write_facts
 from tripledger.operators.metrics import daily_metrics, monthly_metrics, zone_metrics
 from tripledger.operators.quality import quality_report
-from tripledger.operators.staging import quality_filter, typed_trips
+from tripledger.operators.refresh import overwrite_range
+from tripledger.operators.staging import stage
 from tripledger.sources.months import read_months
 from tripledger.sources.sinks import write_table
 from tripledger.sources.workdir import fresh_dir
@@ -22,10 +25,17 @@ class Build:
 
     paths: dict[str, str]
     rows: dict[str, int] = field(default_factory=dict)
+    schemas: dict[str, StructType] = field(default_factory=dict)
     input_rows: int = 0
 
     def table(self, spark: SparkSession, name: str) -> DataFrame:
-        return spark.read.parquet(self.paths[name]).drop(PARTITION)
+        schema = self.schemas[name]
+        return spark.read.schema(schema).parquet(self.paths[name]).select(*schema.names)
+
+    def facts(self, spark: SparkSession) -> DataFrame:
+        """The facts with their storage column, by which Spark can skip whole months."""
+        schema = StructType([*self.schemas["fct_trips"], StructField(PARTITION, DateType())])
+        return spark.read.schema(schema).parquet(self.paths["fct_trips"])
 
     def tables(self, spark: SparkSession) -> dict[str, DataFrame]:
         return {name: self.table(spark, name) for name in TABLES}
@@ -49,38 +59,77 @@ def build_tables(
 ) -> Build:
     """Full rebuild into a new folder; nothing that already exists is touched.
 
-    Facts are stored by month, so that later refreshes read only the months they need. Row counts are observed while writing and cost no extra scan. With ``reuse`` the
-    staged trips and the dimension of an earlier build serve again, for a change of logic that
-    does not concern them.
+    Facts are stored by month, so that later refreshes read only the months they need. Row
+    counts come from the footers of the written files; counters kept while writing would count
+    the rows of repeated tasks twice. With ``reuse`` the staged trips and the dimension of an
+    earlier build serve again, for a change of logic that does not concern them.
     """
     spark = raw.sparkSession
-    base = fresh_dir(spark, "build")
-    done = Build({name: f"{base}/{name}" for name in TABLES})
-
-    def store(name: str, df: DataFrame, write=write_table) -> DataFrame:
-        seen = Observation()
-        write(df.observe(seen, F.count(F.lit(1)).alias("rows")), done.paths[name])
-        done.rows[name] = seen.get["rows"]
-        return done.table(spark, name)
-
+    done = _new_build(spark)
     if reuse is None:
-        seen = Observation()
-        typed = typed_trips(raw).observe(seen, F.count(F.lit(1)).alias("rows"))
-        stg = store("stg_trips", quality_filter(typed, bounds))
-        done.input_rows = seen.get["rows"]
-        dim = store("dim_zones", dim_zones(raw_zones))
+        done.input_rows = raw.count()
+        _store(spark, done, "stg_trips", stage(raw, bounds))
+        _store(spark, done, "dim_zones", dim_zones(raw_zones))
     else:
         for name in ("stg_trips", "dim_zones"):
             done.paths[name], done.rows[name] = reuse.paths[name], reuse.rows[name]
+            done.schemas[name] = reuse.schemas[name]
         done.input_rows = reuse.input_rows
-        stg, dim = (reuse.table(spark, name) for name in ("stg_trips", "dim_zones"))
-    fct = store("fct_trips", fct_trips(stg, dim, variant), write_facts)
-    daily = store("daily_metrics", daily_metrics(fct, fare_offset))
-    store("zone_metrics", zone_metrics(fct))
-    store("monthly_metrics", monthly_metrics(daily))
+    stg, dim = (done.table(spark, name) for name in ("stg_trips", "dim_zones"))
+    fct = _store(spark, done, "fct_trips", fct_trips(stg, dim, variant), write_facts)
+    _store_metrics(spark, done, fct, daily_metrics(fct, fare_offset))
     return done
 
 
+def restate(
+    previous: Build,
+    raw: DataFrame,
+    raw_zones: DataFrame,
+    start: dt.date,
+    end: dt.date,
+    bounds: Bounds = Bounds(),
+    variant: str = "fare",
+) -> Build:
+    """Recompute after a correction of the input. Staged trips, zones, facts and the two tables
+    that cover the whole history are rebuilt; of the daily table only the dates from start to
+    end (inclusive) are replaced, also those that vanished, and all others keep their rows."""
+    spark = raw.sparkSession
+    done = _new_build(spark)
+    done.input_rows = raw.count()
+    stg = _store(spark, done, "stg_trips", stage(raw, bounds))
+    dim = _store(spark, done, "dim_zones", dim_zones(raw_zones))
+    fct = _store(spark, done, "fct_trips", fct_trips(stg, dim, variant), write_facts)
+    restated = daily_metrics(between_dates(done.facts(spark), start, end))
+    kept = previous.table(spark, "daily_metrics")
+    _store_metrics(spark, done, fct, overwrite_range(kept, restated, "date", start, end))
+    return done
+
+
+def _new_build(spark: SparkSession) -> Build:
+    base = fresh_dir(spark, "build")
+    return Build({name: f"{base}/{name}" for name in TABLES})
+
+
+def _store(
+    spark: SparkSession,
+    build: Build,
+    name: str,
+    df: DataFrame,
+    write: Callable[[DataFrame, str], None] = write_table,
+) -> DataFrame:
+    write(df, build.paths[name])
+    build.schemas[name] = df.schema
+    stored = build.table(spark, name)
+    build.rows[name] = stored.count()
+    return stored
+
+
+def _store_metrics(spark: SparkSession, build: Build, fct: DataFrame, daily: DataFrame) -> None:
+    stored = _store(spark, build, "daily_metrics", daily)
+    _store(spark, build, "zone_metrics", zone_metrics(fct))
+    _store(spark, build, "monthly_metrics", monthly_metrics(stored))
+
+
 def report_for(spark: SparkSession, build: Build, bounds: Bounds = Bounds()) -> DataFrame:
     """The quality report of a stored build."""
     tables = build.tables(spark)

@@ -10,9 +10,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tripledger.contract import Bounds
 from tripledger.operators.facts import PARTITION, fct_trips, write_facts
-from tripledger.operators.joins import lookup_join
 from tripledger.operators.metrics import daily_metrics
+from tripledger.operators.refresh import facts_of_dates, touched_dates
 from tripledger.operators.staging import classify_rejects, stage, typed_trips
+from tripledger.sources.workdir import materialize
 
 
 def read_drops(
@@ -73,14 +74,8 @@ def stream_ingest(
         schema = T.StructType([*added.schema, *folders])
         facts = spark.read.schema(schema).parquet(f"{target}/facts")
         facts = facts.where(F.col("batch") <= batch)
-        touched = (
-            facts.where(F.col("batch") == batch)
-            .select(F.col(PARTITION).alias("_month"), F.col("pickup_date").alias("_date"))
-            .distinct()
-        )
-        # The month is part of the key so that the join prunes the fact folders.
-        on = [(PARTITION, "_month"), ("pickup_date", "_date")]
-        affected = lookup_join(facts, touched, on, "left_semi")
+        dates = materialize(touched_dates(facts.where(F.col("batch") == batch)), "touched")
+        affected = facts_of_dates(facts, dates)
         _replace(daily_metrics(affected), f"{target}/daily/batch={batch}")
 
     return _run(trips, "append", checkpoint or f"{target}/checkpoint", one_batch)
