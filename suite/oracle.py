@@ -477,6 +477,24 @@ def oracles() -> dict[str, str]:
             ),
             *BASE, FAULTY,
         ),
+        "accepted_range": sql(
+            " UNION ALL ".join(
+                f"SELECT '{name}' AS check_name, COUNT(*) AS failures FROM faulty WHERE {c} IS NULL "
+                f"OR NOT isfinite({c}) OR NOT ({good})"
+                for name, c, good in (
+                    ("distance", "trip_distance", "trip_distance BETWEEN 0 AND 40"),
+                    ("total", "total_amount", "total_amount >= 1000"),
+                    ("tip", "tip_percentage", "tip_percentage BETWEEN 0 AND 8"),
+                )
+            ),
+            *BASE, FAULTY,
+        ),
+        "order_check": sql(
+            "SELECT 'dropoff_after_pickup' AS check_name, COUNT(*) AS failures FROM typed "
+            "WHERE pickup_datetime IS NULL OR dropoff_datetime IS NULL OR passenger_count = 7 "
+            "OR dropoff_datetime < pickup_datetime",
+            RAW, typed(),
+        ),
         "unique_keys": "SELECT l_orderkey, l_linenumber, COUNT(*) AS occurrences FROM lineitem "
         "WHERE l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL "
         "GROUP BY l_orderkey, l_linenumber HAVING COUNT(*) > 1",

@@ -253,6 +253,26 @@ def not_null(spark, sf):
     return quality.not_null(_faulty(_fct(spark, sf)), columns)
 
 
+@query
+def accepted_range(spark, sf):
+    fct = _faulty(_fct(spark, sf))
+    checks = {
+        "distance": quality.out_of_range(F.col("trip_distance"), 0.0, 40.0),
+        "total": quality.out_of_range(F.col("total_amount"), 1000.0),
+        "tip": quality.out_of_range(F.col("tip_percentage"), 0.0, 8.0),
+    }
+    return quality.count_failures(fct, checks)
+
+
+@query
+def order_check(spark, sf):
+    # Raw trips, before the filter: shipped before they were ordered, or no date at all.
+    typed = staging.typed_trips(order_trips(spark, sf))
+    shipped = F.when(F.col("passenger_count") != 7, F.col("dropoff_datetime"))
+    wrong = quality.out_of_order(F.col("pickup_datetime"), shipped)
+    return quality.count_failures(typed, {"dropoff_after_pickup": wrong})
+
+
 @query
 def unique_keys(spark, sf):
     return quality.duplicate_keys(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])

@@ -4,6 +4,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -13,13 +14,17 @@ SALTS = 64
 def fits_broadcast(
     lookup: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
 ) -> bool:
-    """Measure a lookup, reading at most one row more than the limit."""
-    width = F.octet_length(F.to_json(F.struct("*")))
-    size = (
-        lookup.limit(max_rows + 1)
-        .agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes"))
-        .first()
-    )
+    """Measure a lookup: its rows, and its bytes in the form a broadcast holds them (eight per
+    column, and the length of variable-size values)."""
+    width = F.lit(8 * len(lookup.columns))
+    for field in lookup.schema:
+        if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            width = width + F.coalesce(F.octet_length(F.col(field.name)), F.lit(0))
+        elif isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            width = width + F.octet_length(F.to_json(F.struct(field.name)))
+    size = lookup.agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("bytes")
+    ).first()
     return size.n <= max_rows and size.bytes <= max_bytes
 
 

@@ -103,6 +103,12 @@ def gate(report: DataFrame) -> None:
         raise QualityError(failed)
 
 
+def count_failures(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
+    """Rows that break each named check, as (check_name, failures), from one pass."""
+    counts = df.agg(*(failures(bad).alias(name) for name, bad in checks.items()))
+    return _as_rows(counts, "check_name", "failures")
+
+
 def not_null(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """NULLs per column, from one pass."""
     counts = df.agg(*(failures(F.col(name).isNull()).alias(name) for name in columns))
