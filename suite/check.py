@@ -14,6 +14,15 @@ from suite.oracle import oracles
 from suite.queries import QUERIES
 from suite.session import local_session
 
+SQL_TYPES = {
+    "BIGINT": "bigint",
+    "INTEGER": "int",
+    "DOUBLE": "double",
+    "VARCHAR": "string",
+    "DATE": "date",
+    "TIMESTAMP": "timestamp_ntz",
+    "BOOLEAN": "boolean",
+}
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
@@ -54,6 +63,10 @@ def compare(spark, con, sf_dir: str, name: str) -> tuple[str, float, int]:
     columns = [d[0] for d in result.description]
     if sorted(columns) != sorted(df.columns):
         return f"COLUMNS {sorted(df.columns)} against {sorted(columns)}", seconds, len(got)
+    kinds = dict(zip(columns, (SQL_TYPES.get(str(d[1]), str(d[1])) for d in result.description)))
+    if kinds != dict(df.dtypes):
+        apart = {c: (kind, kinds[c]) for c, kind in df.dtypes if kind != kinds[c]}
+        return f"TYPES {apart}", seconds, len(got)
     mine, other = rows(df.columns, got), rows(columns, result.fetchall())
     if mine != other:
         extra, lack = set(mine) - set(other), set(other) - set(mine)

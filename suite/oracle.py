@@ -49,55 +49,53 @@ raw_zones AS (
 
 DIM = """
 dim_zones AS (
-    SELECT CAST(LocationID AS BIGINT) AS zone_id, CAST(Borough AS VARCHAR) AS borough,
-        CAST(Zone AS VARCHAR) AS zone_name, CAST(service_zone AS VARCHAR) AS service_zone
+    SELECT LocationID::BIGINT AS zone_id, Borough AS borough, Zone AS zone_name, service_zone
     FROM raw_zones
 )"""
 
-
-def typed(name: str = "typed", raw: str = "raw") -> str:
-    return f"""
-{name} AS (
-    SELECT *, CAST(pickup_datetime AS DATE) AS pickup_date,
-        CAST(EXTRACT(HOUR FROM pickup_datetime) AS INTEGER) AS pickup_hour,
-        EPOCH(dropoff_datetime - pickup_datetime) / 60.0 AS trip_duration_minutes
-    FROM (
-        SELECT CAST(tpep_pickup_datetime AS TIMESTAMP) AS pickup_datetime,
-            CAST(tpep_dropoff_datetime AS TIMESTAMP) AS dropoff_datetime,
-            CAST(PULocationID AS BIGINT) AS pickup_zone_id,
-            CAST(DOLocationID AS BIGINT) AS dropoff_zone_id,
-            CAST(passenger_count AS DOUBLE) AS passenger_count,
-            CAST(trip_distance AS DOUBLE) AS trip_distance,
-            CASE payment_type WHEN 1 THEN 'credit_card' WHEN 2 THEN 'cash'
-                WHEN 3 THEN 'no_charge' WHEN 4 THEN 'dispute' WHEN 5 THEN 'unknown'
-                WHEN 6 THEN 'voided' ELSE 'unknown' END AS payment_type,
-            CAST(fare_amount AS DOUBLE) AS fare_amount, CAST(tip_amount AS DOUBLE) AS tip_amount,
-            CAST(tolls_amount AS DOUBLE) AS tolls_amount,
-            CAST(total_amount AS DOUBLE) AS total_amount
-        FROM {raw}
-    )
+# Payment codes and labels.
+LABELS = """(VALUES (1, 'credit_card'), (2, 'cash'), (3, 'no_charge'), (4, 'dispute'),
+        (5, 'unknown'), (6, 'voided')) AS labels(code, label)"""
+
+TYPED = f"""
+typed AS (
+    SELECT tpep_pickup_datetime AS pickup_datetime, tpep_dropoff_datetime AS dropoff_datetime,
+        PULocationID::BIGINT AS pickup_zone_id, DOLocationID::BIGINT AS dropoff_zone_id,
+        passenger_count, trip_distance, coalesce(label, 'unknown') AS payment_type, fare_amount,
+        tip_amount, tolls_amount, total_amount, tpep_pickup_datetime::DATE AS pickup_date,
+        hour(tpep_pickup_datetime)::INTEGER AS pickup_hour,
+        date_diff('microsecond', tpep_pickup_datetime, tpep_dropoff_datetime) / 1e6 / 60
+            AS trip_duration_minutes
+    FROM raw LEFT JOIN {LABELS} ON code = payment_type
 )"""
 
+# The first rule a trip breaks.
+REASONS = """CASE WHEN pickup_datetime IS NULL THEN 'missing_pickup'
+        WHEN dropoff_datetime IS NULL THEN 'missing_dropoff'
+        WHEN trip_duration_minutes < 0 THEN 'negative_duration'
+        WHEN trip_duration_minutes > 525600 THEN 'excessive_duration'
+        WHEN NOT coalesce(isfinite(trip_distance) AND trip_distance >= 0, FALSE)
+            THEN 'invalid_distance'
+        WHEN NOT coalesce(isfinite(total_amount) AND total_amount >= 0
+            AND total_amount <= 90000, FALSE) THEN 'invalid_total'
+        WHEN NOT coalesce(isfinite(fare_amount), FALSE) THEN 'invalid_fare'
+        WHEN NOT coalesce(isfinite(tip_amount), FALSE) THEN 'invalid_tip'
+        WHEN NOT coalesce(isfinite(tolls_amount), FALSE) THEN 'invalid_tolls'
+        ELSE 'accepted' END"""
 
-GOOD = """pickup_datetime IS NOT NULL AND dropoff_datetime IS NOT NULL
-        AND trip_duration_minutes BETWEEN 0 AND 525600
-        AND isfinite(trip_distance) AND trip_distance >= 0
-        AND isfinite(total_amount) AND total_amount BETWEEN 0 AND 90000
-        AND isfinite(fare_amount) AND isfinite(tip_amount) AND isfinite(tolls_amount)"""
-
-
-def stg(name: str = "stg_trips", source: str = "typed") -> str:
-    return f"\n{name} AS (SELECT * FROM {source} WHERE {GOOD})"
+STG = f"""
+stg_trips AS (SELECT * FROM typed WHERE {REASONS} = 'accepted')"""
 
 
-def fct(name: str = "fct_trips", source: str = "stg_trips", revenue: str = "t.fare_amount") -> str:
+def fct(name: str = "fct_trips", revenue: str = "fare_amount") -> str:
     return f"""
 {name} AS (
-    SELECT t.*, p.zone_name AS pickup_zone, d.zone_name AS dropoff_zone,
-        {revenue} AS revenue, ({revenue}) / NULLIF(t.trip_distance, 0) AS revenue_per_mile,
-        100.0 * t.tip_amount / NULLIF(t.fare_amount, 0) AS tip_percentage
-    FROM {source} t JOIN dim_zones p ON t.pickup_zone_id = p.zone_id
-    JOIN dim_zones d ON t.dropoff_zone_id = d.zone_id
+    SELECT trip.*, origin.zone_name AS pickup_zone, goal.zone_name AS dropoff_zone,
+        {revenue} AS revenue,
+        CASE WHEN trip_distance <> 0 THEN ({revenue}) / trip_distance END AS revenue_per_mile,
+        CASE WHEN fare_amount <> 0 THEN 100 * tip_amount / fare_amount END AS tip_percentage
+    FROM stg_trips AS trip, dim_zones AS origin, dim_zones AS goal
+    WHERE origin.zone_id = pickup_zone_id AND goal.zone_id = dropoff_zone_id
 )"""
 
 
@@ -126,32 +124,35 @@ def zone(name: str = "zone_metrics", source: str = "fct_trips") -> str:
 
 
 def growth(source: str, columns: str, keys: str = "") -> str:
-    over = f"(PARTITION BY {keys} ORDER BY month)" if keys else "(ORDER BY month)"
+    """Each month next to the calendar month before it, by a self join."""
+    same = f"AND now.{keys} = before.{keys}" if keys else ""
+    shown = ", ".join(f"now.{column.strip()}" for column in columns.split(","))
+    changes = ", ".join(
+        f"CASE WHEN before.{c} <> 0 THEN (now.{c} - before.{c}) / before.{c} END AS {name}"
+        for c, name in (
+            ("trip_count", "month_over_month_trip_growth"),
+            ("revenue", "month_over_month_revenue_growth"),
+        )
+    )
     return f"""
-    SELECT {columns},
-        CASE WHEN month = previous_month + INTERVAL '1 month'
-            THEN (trip_count - previous_trips) / NULLIF(previous_trips, 0)
-            END AS month_over_month_trip_growth,
-        CASE WHEN month = previous_month + INTERVAL '1 month'
-            THEN (revenue - previous_revenue) / NULLIF(previous_revenue, 0)
-            END AS month_over_month_revenue_growth
-    FROM (SELECT *, LAG(month) OVER {over} AS previous_month,
-        LAG(trip_count) OVER {over} AS previous_trips,
-        LAG(revenue) OVER {over} AS previous_revenue FROM {source})"""
+    SELECT {shown}, {changes} FROM {source} AS now
+    LEFT JOIN {source} AS before ON now.month = before.month + INTERVAL 1 MONTH {same}"""
 
 
 MONTHLY_COLUMNS = "month, trip_count, revenue, average_fare, average_tip, average_distance"
 
 
 def monthly(name: str = "monthly_metrics", source: str = "daily_metrics") -> str:
-    trips = "CAST(SUM(trip_count) AS BIGINT)"
-    rollup = f"""(
-        SELECT CAST(DATE_TRUNC('month', date) AS DATE) AS month, {trips} AS trip_count,
-            {total("total_revenue")} AS revenue, {total("fare_sum")} / {trips} AS average_fare,
-            {total("tip_sum")} / {trips} AS average_tip,
-            {total("distance_sum")} / {trips} AS average_distance
-        FROM {source} GROUP BY 1)"""
-    return f"\n{name} AS ({growth(rollup, MONTHLY_COLUMNS)})"
+    trips = "SUM(trip_count)::BIGINT"
+    return f"""
+{name}_rollup AS (
+    SELECT date_trunc('month', date)::DATE AS month, {trips} AS trip_count,
+        {total("total_revenue")} AS revenue, {total("fare_sum")} / {trips} AS average_fare,
+        {total("tip_sum")} / {trips} AS average_tip,
+        {total("distance_sum")} / {trips} AS average_distance
+    FROM {source} GROUP BY 1
+),
+{name} AS ({growth(f"{name}_rollup", MONTHLY_COLUMNS)})"""
 
 
 def zone_monthly(name: str = "zone_monthly", where: str = "TRUE") -> str:
@@ -176,21 +177,25 @@ faulty AS (
     FROM fct_trips
 )"""
 
-REVENUE_B = "t.fare_amount + t.tip_amount + t.tolls_amount"
+REVENUE_B = "fare_amount + tip_amount + tolls_amount"
 EARLY = "dropoff_datetime < TIMESTAMP '1999-01-01'"
 BAD_TRIP = {
-    "timestamps": "pickup_datetime IS NULL OR dropoff_datetime IS NULL "
-    "OR dropoff_datetime < pickup_datetime",
-    "distance": "trip_distance IS NULL OR NOT isfinite(trip_distance) OR trip_distance < 0",
-    "total_amount": "total_amount IS NULL OR NOT isfinite(total_amount) "
-    "OR total_amount NOT BETWEEN 0 AND 90000",
-    "duration": "trip_duration_minutes IS NULL OR trip_duration_minutes NOT BETWEEN 0 AND 525600",
+    "timestamps": "NOT coalesce(pickup_datetime <= dropoff_datetime, FALSE)",
+    "distance": "NOT coalesce(isfinite(trip_distance) AND trip_distance >= 0, FALSE)",
+    "total_amount": "NOT coalesce(isfinite(total_amount) AND total_amount >= 0 "
+    "AND total_amount <= 90000, FALSE)",
+    "duration": "NOT coalesce(trip_duration_minutes >= 0 AND trip_duration_minutes <= 525600, FALSE)",
 }
-MISSING_ZONE = """
-    NOT EXISTS (SELECT 1 FROM dim_zones z WHERE z.zone_id = t.pickup_zone_id)
-    OR NOT EXISTS (SELECT 1 FROM dim_zones z WHERE z.zone_id = t.dropoff_zone_id)"""
 
-BASE = [RAW, RAW_ZONES, DIM, typed(), stg(), fct()]
+
+def unknown(role: str) -> str:
+    """No zone has this id; a NULL id counts as unknown."""
+    return f"NOT coalesce({role}_zone_id IN (SELECT zone_id FROM dim_zones), FALSE)"
+
+
+MISSING_ZONE = f"({unknown('pickup')} OR {unknown('dropoff')})"
+
+BASE = [RAW, RAW_ZONES, DIM, TYPED, STG, fct()]
 
 CORRECTED = [
     RAW.replace("raw AS", "original AS"),
@@ -288,19 +293,6 @@ def _tolerance(left: str, right: str, epsilon: float) -> str:
     return "\nUNION ALL\n".join(cells)
 
 
-REASONS = """CASE WHEN pickup_datetime IS NULL THEN 'missing_pickup'
-        WHEN dropoff_datetime IS NULL THEN 'missing_dropoff'
-        WHEN trip_duration_minutes < 0 THEN 'negative_duration'
-        WHEN trip_duration_minutes > 525600 THEN 'excessive_duration'
-        WHEN NOT COALESCE(isfinite(trip_distance) AND trip_distance >= 0, FALSE)
-            THEN 'invalid_distance'
-        WHEN NOT COALESCE(isfinite(total_amount) AND total_amount BETWEEN 0 AND 90000, FALSE)
-            THEN 'invalid_total'
-        WHEN NOT COALESCE(isfinite(fare_amount), FALSE) THEN 'invalid_fare'
-        WHEN NOT COALESCE(isfinite(tip_amount), FALSE) THEN 'invalid_tip'
-        WHEN NOT COALESCE(isfinite(tolls_amount), FALSE) THEN 'invalid_tolls'
-        ELSE 'accepted' END"""
-
 CASE_FATES = {
     "card": "fact",
     "cash": "fact",
@@ -380,7 +372,7 @@ def oracles() -> dict[str, str]:
     rejects = sql(
         f"SELECT {REASONS} AS reject_reason, COUNT(*) AS trip_count FROM typed GROUP BY 1",
         RAW,
-        typed(),
+        TYPED,
     )
     published = {
         "stg_trips": "stg_trips",
@@ -403,22 +395,25 @@ def oracles() -> dict[str, str]:
         for name in published
     ]
     return {
-        "stg_trips": sql("SELECT * FROM stg_trips", RAW, typed(), stg()),
+        "stg_trips": sql("SELECT * FROM stg_trips", RAW, TYPED, STG),
         "payment_mix": sql(
             f"SELECT payment_type, COUNT(*) AS trip_count, {total('total_amount')} AS total_amount "
             "FROM stg_trips GROUP BY payment_type",
-            RAW, typed(), stg(),
+            RAW, TYPED, STG,
         ),
         "reject_reasons": rejects,
         "dim_zones": sql("SELECT * FROM dim_zones", RAW_ZONES, DIM),
         "fct_trips": sql("SELECT * FROM fct_trips", *BASE),
         "fct_trips_revenue_b": sql("SELECT * FROM fct_b", *BASE, fct("fct_b", revenue=REVENUE_B)),
         "unmatched_zones": sql(
-            "SELECT 'pickup' AS role, COUNT(*) AS unmatched_trips FROM stg_trips t WHERE NOT EXISTS "
-            "(SELECT 1 FROM dim_zones z WHERE z.zone_id = t.pickup_zone_id) UNION ALL "
-            "SELECT 'dropoff', COUNT(*) FROM stg_trips t WHERE NOT EXISTS "
-            "(SELECT 1 FROM dim_zones z WHERE z.zone_id = t.dropoff_zone_id) UNION ALL "
-            f"SELECT 'either', COUNT(*) FROM stg_trips t WHERE {MISSING_ZONE}",
+            " UNION ALL ".join(
+                f"SELECT '{role}' AS role, COUNT(*) AS unmatched_trips FROM stg_trips WHERE {lost}"
+                for role, lost in (
+                    ("pickup", unknown("pickup")),
+                    ("dropoff", unknown("dropoff")),
+                    ("either", MISSING_ZONE),
+                )
+            ),
             *BASE,
         ),
         "daily_metrics": all_daily,
@@ -442,16 +437,16 @@ def oracles() -> dict[str, str]:
             "SELECT * FROM daily_metrics ORDER BY total_revenue DESC, date LIMIT 10", *BASE, daily()
         ),
         "ordered_zone_metrics": sql("SELECT * FROM zone_metrics ORDER BY ALL", *BASE, zone()),
-        "category_order": "SELECT event_type, COUNT(*) AS event_count, list_position(["
+        "category_order": "SELECT event_type, COUNT(*) AS event_count, CAST(list_position(["
         + ", ".join(f"'{name}'" for name in EVENT_TYPES)
-        + "], event_type) AS position FROM events GROUP BY event_type ORDER BY position",
+        + "], event_type) AS BIGINT) AS position FROM events GROUP BY event_type ORDER BY position",
         "quality_report": sql(
             "\nUNION ALL\n".join(
                 [
                     "SELECT 'zone_keys' AS check_name, "
                     "(SELECT COUNT(*) - COUNT(DISTINCT zone_id) FROM twice) AS failures",
                     *checks,
-                    f"SELECT 'zone_references', (SELECT COUNT(*) FROM faulty t WHERE {MISSING_ZONE})",
+                    f"SELECT 'zone_references', (SELECT COUNT(*) FROM faulty WHERE {MISSING_ZONE})",
                     apart.format("daily_trip_count", "faulty", "daily_metrics"),
                     apart.format("monthly_trip_count", "faulty", "monthly_metrics"),
                     apart.format("zone_trip_count", "faulty", "zone_metrics"),
@@ -468,7 +463,7 @@ def oracles() -> dict[str, str]:
         "audit_rows": sql(
             f"SELECT * FROM faulty WHERE {' OR '.join(BAD_TRIP.values())} OR {not_in}", *BASE, FAULTY
         ),
-        "refs_not_exists": sql(f"SELECT * FROM faulty t WHERE {MISSING_ZONE}", *BASE, FAULTY),
+        "refs_not_exists": sql(f"SELECT * FROM faulty WHERE {MISSING_ZONE}", *BASE, FAULTY),
         "refs_not_in": sql(f"SELECT * FROM faulty WHERE {not_in}", *BASE, FAULTY),
         "not_null": sql(
             " UNION ALL ".join(
@@ -493,7 +488,7 @@ def oracles() -> dict[str, str]:
             "SELECT 'dropoff_after_pickup' AS check_name, COUNT(*) AS failures FROM typed "
             "WHERE pickup_datetime IS NULL OR dropoff_datetime IS NULL OR passenger_count = 7 "
             "OR dropoff_datetime < pickup_datetime",
-            RAW, typed(),
+            RAW, TYPED,
         ),
         "unique_keys": "SELECT l_orderkey, l_linenumber, COUNT(*) AS occurrences FROM lineitem "
         "WHERE l_orderkey IS NOT NULL AND l_linenumber IS NOT NULL "
@@ -564,7 +559,7 @@ def oracles() -> dict[str, str]:
         "INTERVAL 1 DAY)) AS DATE) AS missing_date) "
         "EXCEPT SELECT user_id, CAST(ts AS DATE) FROM events",
         "day_ranges": _ranges("events", "ts", "user_id", 7),
-        "day_ranges_all": sql(_ranges("stg_trips", "pickup_date", "", 30), RAW, typed(), stg()),
+        "day_ranges_all": sql(_ranges("stg_trips", "pickup_date", "", 30), RAW, TYPED, STG),
         "multiset_diff": sql(
             "SELECT l_orderkey, l_linenumber, l_returnflag, CAST(SUM(side) AS BIGINT) AS copies_delta "
             "FROM (SELECT *, -1 AS side FROM lines UNION ALL "

@@ -152,5 +152,5 @@ def day_ranges(
         *keys,
         F.date_add("_first", F.col("_offset")).alias("start_date"),
         F.date_add("_first", stop).alias("end_date"),
-        (stop - F.col("_offset")).alias("days"),
+        (stop - F.col("_offset")).cast("bigint").alias("days"),
     )
