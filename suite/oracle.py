@@ -320,8 +320,9 @@ def oracles() -> dict[str, str]:
         for name, bad in BAD_TRIP.items()
     ]
     apart = (
-        "SELECT '{0}', abs((SELECT COUNT(*) FROM {1}) - "
-        "COALESCE((SELECT CAST(SUM(trip_count) AS BIGINT) FROM {2}), 0))"
+        "SELECT '{0}' AS check_name, abs(rows.n - coalesce(parts.n, 0)) AS failures FROM "
+        "(SELECT COUNT(*) AS n FROM {1}) AS rows, "
+        "(SELECT SUM(trip_count)::BIGINT AS n FROM {2}) AS parts"
     )
     not_in = (
         "pickup_zone_id NOT IN (SELECT zone_id FROM dim_zones) "
@@ -443,8 +444,9 @@ def oracles() -> dict[str, str]:
         "quality_report": sql(
             "\nUNION ALL\n".join(
                 [
-                    "SELECT 'zone_keys' AS check_name, "
-                    "(SELECT COUNT(*) - COUNT(DISTINCT zone_id) FROM twice) AS failures",
+                    "SELECT 'zone_keys' AS check_name, SUM(CASE WHEN zone_id IS NULL THEN n "
+                    "ELSE n - 1 END)::BIGINT AS failures "
+                    "FROM (SELECT zone_id, COUNT(*) AS n FROM twice GROUP BY zone_id)",
                     *checks,
                     f"SELECT 'zone_references', (SELECT COUNT(*) FROM faulty WHERE {MISSING_ZONE})",
                     apart.format("daily_trip_count", "faulty", "daily_metrics"),
@@ -500,10 +502,8 @@ def oracles() -> dict[str, str]:
         "WHERE doc_id IS NOT NULL AND NOT EXISTS "
         "(SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
         "conservation": sql(
-            apart.format("daily_trip_count", "fct_trips", "daily_metrics").replace(
-                "'daily_trip_count'", "'daily_trip_count' AS check_name"
-            )
-            + " AS failures UNION ALL "
+            apart.format("daily_trip_count", "fct_trips", "daily_metrics")
+            + " UNION ALL "
             + apart.format("zone_trip_count", "fct_trips", "zone_metrics"),
             *BASE, daily(where=EARLY), zone(),
         ),

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from tests.conftest import as_set
 from tripledger.contract import TABLES
+from tripledger.operators import records
 from tripledger.operators.compare import compare_all, table_checksum
 from tripledger.operators.facts import between_dates
 from tripledger.operators.quality import QualityError
 from tripledger.operators.refresh import facts_of_dates, since_last_date
 from tripledger.operators.staging import correct_fares
-from tripledger.plans.build import build_from_files, build_summary, build_tables, report_for, restate
+from tripledger.plans.build import build_from_files, build_summary, build_tables, report_for, restate, run_record
 from tripledger.plans.publish import audit_publish, environment_checksums, point_views
 from tripledger.sources.fixture import zone_rows
 from tripledger.sources.months import read_months
@@ -63,6 +64,39 @@ def test_mean_tip_percentage_is_the_plain_average(spark, half_year):
         assert row.average_tip_percentage == pytest.approx(row.plain, rel=1e-12)
 
 
+def test_records_of_verified_runs(spark, raw_dir, half_year):
+    members = ["first", "second"]
+    other = build_from_files(spark, raw_dir, 2025, 6)
+    run = {
+        "run_id": "r",
+        "scenario": "initial_build",
+        "dataset_kind": "fixture",
+        "dataset_year": 2025,
+        "dataset_months": 6,
+        "start_month": 1,
+    }
+    runs = [
+        run_record(spark, build, {**run, "implementation": name}, 1.5, "full_rebuild")
+        for name, build in zip(members, (half_year, other))
+    ]
+    runs = runs[0].unionAll(runs[1])
+    assert {row.status for row in runs.collect()} == {"built"}
+    report = compare_all(
+        spark,
+        half_year.tables(spark),
+        {"first": half_year.tables(spark), "second": other.tables(spark)},
+    )
+    verdicts = report.select(
+        F.col("candidate").alias("implementation"), F.col("equivalent").alias("passed")
+    )
+    done = records.run_status(runs, verdicts, "implementation").select(*records.RECORD_SCHEMA.names)
+    row = done.where("implementation = 'second'").first()
+    assert (row.status, row.equivalent, row.input_rows) == ("verified", True, 96)
+    assert row.output_rows["fct_trips"] == 42 and row.database_size_mb > 0
+    assert records.classify_records(done, members).where("reject_reason IS NOT NULL").isEmpty()
+    assert records.set_problems(done, members).isEmpty()
+
+
 def test_output_contract(spark, half_year):
     daily = dict(half_year.table(spark, "daily_metrics").dtypes)
     assert daily["date"] == "date" and daily["trip_count"] == "bigint"

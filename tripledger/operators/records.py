@@ -152,6 +152,7 @@ def run_status(runs: DataFrame, verdicts: DataFrame, key: str) -> DataFrame:
     ``verdicts`` has one boolean ``passed`` per finding (table comparison, unchanged inputs);
     a run needs all of them.
     """
+    runs = runs.drop("equivalent", "status")
     by_run = verdicts.groupBy(key).agg(F.bool_and("passed").alias("equivalent"))
     status = (
         F.when(F.col("exit_code") != 0, "failed")

@@ -1,18 +1,21 @@
 """Build the six tables from raw input."""
 
 import datetime as dt
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StructField, StructType
 
 from tripledger.contract import MONTH_FILE, TABLES, ZONE_FILE, Bounds
 from tripledger.operators.facts import PARTITION, between_dates, dim_zones, fct_trips, write_facts
 from tripledger.operators.metrics import daily_metrics, monthly_metrics, zone_metrics
 from tripledger.operators.quality import quality_report
+from tripledger.operators.records import RECORD_SCHEMA
 from tripledger.operators.refresh import overwrite_range
 from tripledger.operators.staging import stage
+from tripledger.sources.files import storage_stats
 from tripledger.sources.months import read_months
 from tripledger.sources.sinks import write_table
 from tripledger.sources.workdir import fresh_dir
@@ -154,6 +157,34 @@ def build_summary(spark: SparkSession, build: Build) -> DataFrame:
     return spark.createDataFrame(list(counts.items()), "measure string, row_count bigint")
 
 
+def run_record(
+    spark: SparkSession,
+    build: Build,
+    run: dict[str, object],
+    seconds: float,
+    strategy: str,
+    executed: Sequence[str] = TABLES,
+) -> DataFrame:
+    """One measurement record of a finished build, with status ``built`` until ``run_status``
+    adds a verdict. ``run`` names the run: run_id, implementation, scenario, dataset_kind,
+    dataset_year, dataset_months, start_month."""
+    size = storage_stats(spark, build.paths).agg(F.sum("size_mib")).first()[0]
+    values = {
+        **run,
+        "input_rows": build.input_rows,
+        "output_rows": build.rows,
+        "execution_seconds": seconds,
+        "models_executed": list(executed),
+        "strategy": strategy,
+        "database_size_mb": size,
+        "timestamp": dt.datetime.now(dt.UTC).isoformat(),
+        "exit_code": 0,
+        "status": "built",
+    }
+    row = tuple(values.get(name) for name in RECORD_SCHEMA.names)
+    return spark.createDataFrame([row], RECORD_SCHEMA)
+
+
 def build_from_files(
     spark: SparkSession,
     raw_dir: str,
