@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 
 def local_session(name: str, cpus: int = 8, folder: str | None = None) -> SparkSession:
-    """Local Spark without web page. The shared folder is set only if nothing else names it."""
+    """Local Spark without web page."""
     folder = folder or tempfile.mkdtemp(prefix="tripledger-")
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -18,7 +18,4 @@ def local_session(name: str, cpus: int = 8, folder: str | None = None) -> SparkS
         .config("spark.sql.warehouse.dir", f"{folder}/warehouse")
         .config("spark.log.level", "ERROR")
     )
-    spark = builder.getOrCreate()
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", f"{folder}/shared")
-    return spark
+    return builder.getOrCreate()

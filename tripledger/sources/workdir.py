@@ -1,11 +1,17 @@
 """Where intermediate tables go."""
 
 import tempfile
+from functools import cache
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@cache
+def _local_dir(application: str) -> str:
+    return tempfile.mkdtemp(prefix=f"tripledger-{application}-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as the session names it.
 
@@ -17,9 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="tripledger-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _local_dir(spark.sparkContext.applicationId)
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
