@@ -13,6 +13,7 @@ from tripledger.operators.staging import stage
 from tripledger.sources import workdir
 from tripledger.sources.fixture import RAW_TRIP_SCHEMA
 from tripledger.sources.months import read_months
+from tripledger.sources.sinks import spread, write_table
 
 SF = "/root/testdata/sf0.001"
 
@@ -160,6 +161,30 @@ def test_plan_has_no_cross_join_python_or_global_window(spark, name):
         assert not re.search(r"Window \[.*\], \[\w+", plan) or "Exchange SinglePartition" not in plan
 
 
+def test_write_is_spread_with_and_without_adaptive_execution(spark, tmp_path):
+    rows = spark.range(3000).select("id", (F.col("id") % 3 % 2).alias("k"))
+    write_table(rows, f"{tmp_path}/adaptive", "k")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        assert "xxhash64" in plan_of(spread(rows, "k"))
+        write_table(rows, f"{tmp_path}/salted", "k")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    a, b = (spark.read.parquet(f"{tmp_path}/{name}") for name in ("adaptive", "salted"))
+    assert a.exceptAll(b).isEmpty() and a.count() == b.count() == 3000
+
+
+def test_ids_of_a_large_lookup_are_stored_once(spark, monkeypatch):
+    lookup = spark.range(1000).select((F.col("id") % 300).alias("z"))
+    lookup = lookup.unionAll(spark.sql("SELECT CAST(NULL AS BIGINT)"))
+    monkeypatch.setattr(joins.fits_broadcast, "__defaults__", (500, 1 << 20))
+    ids, small = joins.known_ids(lookup, "z")
+    assert small and ids.count() == 300 and "FileScan parquet" in plan_of(ids)
+    monkeypatch.setattr(joins.fits_broadcast, "__defaults__", (200, 1 << 20))
+    ids, small = joins.known_ids(lookup, "z")
+    assert not small and ids.count() == 300
+
+
 def test_facts_do_not_shuffle(spark):
     plan = plan_of(QUERIES["fct_trips"](spark, SF))
     assert not re.search(r"Exchange (hash|range|Round|Single)", plan)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tripledger.functions.numeric import failures, safe_ratio, to_bigint
 from tripledger.functions.trip import revenue
-from tripledger.operators.joins import distinct_ids, fits_broadcast, flag_unknown, lookup_join
+from tripledger.operators.joins import fits_broadcast, flag_unknown, known_ids, lookup_join
+from tripledger.sources.sinks import spread
 
 
 def dim_zones(raw_zones: DataFrame) -> DataFrame:
@@ -50,12 +51,10 @@ def write_facts(fct: DataFrame, path: str, mode: str = "error") -> None:
     """Store facts by pickup month, each file sorted by pickup date.
 
     Months keep folders few and files large; the sort lets a reader skip row groups by date.
-    Adaptive execution splits a month that holds much of the data over many tasks.
     """
     month = F.trunc("pickup_date", "MM").alias(PARTITION)
     (
-        fct.select("*", month)
-        .hint("rebalance", PARTITION)
+        spread(fct.select("*", month), PARTITION)
         .sortWithinPartitions(PARTITION, "pickup_date")
         .write.mode(mode)
         .option("compression", "zstd")
@@ -75,8 +74,7 @@ def between_dates(stored: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
 
 def with_zone_flags(trips: DataFrame, dim: DataFrame) -> DataFrame:
     """Add ``pickup_unknown`` and ``dropoff_unknown``: the zone id is NULL or not in ``dim``."""
-    ids = distinct_ids(dim, "zone_id")
-    small = fits_broadcast(ids)
+    ids, small = known_ids(dim, "zone_id")
     trips = flag_unknown(trips, ids, "zone_id", "pickup_zone_id", "pickup_unknown", small)
     return flag_unknown(trips, ids, "zone_id", "dropoff_zone_id", "dropoff_unknown", small)
 

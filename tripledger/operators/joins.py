@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tripledger.sources.workdir import materialize
+
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 * 1024 * 1024
 SALTS = 64
@@ -79,6 +81,14 @@ def flag_unknown(
     return joined.withColumn(flag, F.col("_known").isNull()).drop("_known")
 
 
-def distinct_ids(dim: DataFrame, id_column: str) -> DataFrame:
-    """The ids a lookup knows, once each."""
-    return dim.select(id_column).where(F.col(id_column).isNotNull()).distinct()
+def known_ids(lookup: DataFrame, column: str) -> tuple[DataFrame, bool]:
+    """The ids of a lookup, once each and without NULL, and whether they may be broadcast.
+
+    A lookup that is small as it stands needs no more than a count. Of a larger one the
+    distinct ids are stored, because they are both measured and joined.
+    """
+    present = lookup.select(column).where(F.col(column).isNotNull())
+    if fits_broadcast(present):
+        return present.distinct(), True
+    ids = materialize(present.distinct(), "ids")
+    return ids, fits_broadcast(ids)

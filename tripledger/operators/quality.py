@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from tripledger.contract import Bounds
 from tripledger.functions.numeric import failures, is_finite
 from tripledger.operators.facts import with_zone_flags
-from tripledger.operators.joins import distinct_ids, fits_broadcast, flag_unknown, lookup_join
+from tripledger.operators.joins import flag_unknown, known_ids, lookup_join
 
 
 class QualityError(ValueError):
@@ -132,10 +132,10 @@ def surplus_keys(df: DataFrame, key: str) -> DataFrame:
 
 def orphans(child: DataFrame, foreign_key: str, parent: DataFrame, key: str) -> DataFrame:
     """Child rows whose non-NULL foreign key has no parent."""
-    ids = distinct_ids(parent, key).select(F.col(key).alias("_parent_key"))
-    return lookup_join(
-        child.where(F.col(foreign_key).isNotNull()), ids, [(foreign_key, "_parent_key")], "left_anti"
-    )
+    ids, small = known_ids(parent, key)
+    listed = ids.select(F.col(key).alias("_parent_key"))
+    present = child.where(F.col(foreign_key).isNotNull())
+    return lookup_join(present, listed, [(foreign_key, "_parent_key")], "left_anti", small)
 
 
 def bad_references(fct: DataFrame, dim: DataFrame) -> DataFrame:
@@ -152,8 +152,7 @@ def with_not_in_flags(fct: DataFrame, dim: DataFrame) -> DataFrame:
     dimension makes it TRUE for every id. Written as existence flags so that the join stays a
     hash join; NOT IN under OR would compare every fact with every zone.
     """
-    ids = distinct_ids(dim, "zone_id")
-    small = fits_broadcast(ids)
+    ids, small = known_ids(dim, "zone_id")
     has_null = dim.agg(F.coalesce(F.bool_or(F.col("zone_id").isNull()), F.lit(False))).scalar()
     is_empty = dim.agg(F.count(F.lit(1)) == 0).scalar()
     for role in ("pickup", "dropoff"):

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tripledger.operators.facts import PARTITION
 from tripledger.operators.joins import lookup_join
+from tripledger.sources.sinks import spread
 from tripledger.sources.workdir import materialize
 
 def replace_keys(target: DataFrame, new: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -77,7 +78,7 @@ def refresh_touched(
 def overwrite_partitions(new: DataFrame, path: str, key: str) -> None:
     """Replace, in a table folder partitioned by ``key``, the partitions present in ``new``."""
     (
-        new.hint("rebalance", key)
+        spread(new, key)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "zstd")
@@ -108,7 +109,7 @@ def overwrite_table_range(
     spark.conf.set(mode, "dynamic")
     try:
         columns = spark.table(table).columns
-        new.select(*columns).hint("rebalance", key).write.insertInto(table, overwrite=True)
+        spread(new.select(*columns), key).write.insertInto(table, overwrite=True)
     finally:
         spark.conf.set(mode, before)
     if gone:

@@ -4,16 +4,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+SALTS = 64
 
-def write_table(df: DataFrame, path: str, partition_by: str | None = None) -> None:
-    """Write zstd Parquet to a new folder.
 
-    A partitioned write first rebalances on the partition column: adaptive execution then
-    splits the files of a date that holds much of the data over many tasks and packs small
-    dates together.
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Bring rows of one key together for a partitioned write, without one task per key.
+
+    Adaptive execution splits a key that holds much of the data over many tasks and packs small
+    keys together. Where it is switched off, a salt bounds the share of a task.
     """
+    if df.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true":
+        return df.hint("rebalance", key)
+    return df.repartition(F.col(key), F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
+
+
+def write_table(df: DataFrame, path: str, partition_by: str | None = None) -> None:
+    """Write zstd Parquet to a new folder, if wanted with a subfolder per partition value."""
     if partition_by:
-        df = df.hint("rebalance", partition_by)
+        df = spread(df, partition_by)
     writer = df.write.mode("error").option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
 
