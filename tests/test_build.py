@@ -192,6 +192,8 @@ def test_correction_leaves_bad_fares_alone(spark):
 def test_missing_month_fails_before_writing(spark, raw_dir):
     with pytest.raises(FileNotFoundError):
         build_from_files(spark, raw_dir, 2025, 8)
+    with pytest.raises(FileNotFoundError):
+        read_zone_csv(spark, f"{raw_dir}/no_such_lookup.csv")
 
 
 def test_failed_gate_keeps_published_views(spark, raw_dir, half_year):

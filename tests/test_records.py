@@ -83,6 +83,13 @@ def test_incomplete_and_duplicate(spark, tmp_path):
             load(spark, tmp_path, data)
 
 
+def test_records_by_line(spark, tmp_path):
+    source = tmp_path / "records.json"
+    source.write_text("\n".join(map(json.dumps, rows())))
+    loaded = records.load_measurements(spark, str(source), MEMBERS, array=False)
+    assert loaded.count() == 3
+
+
 def test_executed_steps(spark):
     runs = spark.sql(
         "SELECT 1 AS run, array(named_struct('unique_id', 'model.shop.fct', 'status', 'success'), "

@@ -106,10 +106,15 @@ def set_problems(records: DataFrame, members: Sequence[str]) -> DataFrame:
 
 
 def load_measurements(
-    spark: SparkSession, path: str, members: Sequence[str], scenarios: Sequence[str] = SCENARIOS
+    spark: SparkSession,
+    path: str,
+    members: Sequence[str],
+    scenarios: Sequence[str] = SCENARIOS,
+    array: bool = True,
 ) -> DataFrame:
-    """Read a JSON list of records and accept it as a whole or raise."""
-    records = read_json(spark, path, RECORD_SCHEMA, array=True)
+    """Read records and accept them as a whole or raise. By default each file is one JSON list,
+    which one task reads; ``array=False`` reads one record per line, for files of any size."""
+    records = read_json(spark, path, RECORD_SCHEMA, array)
     if records.isEmpty():
         raise InvalidRecords("no records")
     reasons = classify_records(records, members, scenarios).where("reject_reason IS NOT NULL")

@@ -1,6 +1,7 @@
 """Monthly trip files whose schemas drift."""
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.errors import AnalysisException
@@ -25,6 +26,17 @@ def month_paths(
     return [f"{raw_dir.rstrip('/')}/{name}" for name in names]
 
 
+@contextmanager
+def path_must_exist(path: str) -> Iterator[None]:
+    """Turn Spark's error for a missing path into ``FileNotFoundError``."""
+    try:
+        yield
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            raise FileNotFoundError(path) from error
+        raise
+
+
 def read_union_by_name(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Read Parquet files as one table, matching columns by name.
 
@@ -35,12 +47,8 @@ def read_union_by_name(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """
     groups: dict[str, list[str]] = {}
     for path in paths:
-        try:
+        with path_must_exist(path):
             schema = spark.read.parquet(path).schema
-        except AnalysisException as error:
-            if error.getCondition() == "PATH_NOT_FOUND":
-                raise FileNotFoundError(path) from error
-            raise
         groups.setdefault(schema.json(), []).append(path)
     if not groups:
         raise ValueError("no input paths given")

@@ -4,17 +4,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripledger.contract import RAW_ZONE_SCHEMA
+from tripledger.sources.months import path_must_exist
 
 
 def read_zone_csv(spark: SparkSession, path: str) -> DataFrame:
     """CSV with a header; a wrong header or an id that is no number fails the read."""
-    return (
+    reader = (
         spark.read.schema(RAW_ZONE_SCHEMA)
         .option("header", True)
         .option("enforceSchema", False)
         .option("mode", "FAILFAST")
-        .csv(path)
     )
+    with path_must_exist(path):
+        return reader.csv(path)
 
 
 def check_zone_lookup(zones: DataFrame) -> None:
