@@ -23,8 +23,8 @@ def test_every_query_has_sql():
 def test_entry(spark):
     df = entry.entry(spark)
     assert df.columns[0] == "month" and df.count() > 0
-    assert entry.queries().keys() == QUERIES.keys()
-    assert entry.oracle_sql() == oracles()
+    assert entry.queries().keys() == QUERIES.keys() | entry.LLM_QUERIES.keys()
+    assert entry.oracle_sql() == oracles() | entry.LLM_SQL
 
 
 @pytest.mark.parametrize("name", QUERIES)
