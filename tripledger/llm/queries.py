@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tripledger.llm import simhash, toxicity
+from tripledger.llm import pii, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -29,3 +29,13 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score and offending spans of every document."""
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+#: Only for the registered query and the pipeline over made-up data; real data need a secret key.
+DEMO_KEY = b"tripledger demonstration key"
+
+
+@query
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text with pseudonyms, and where they stand in for what."""
+    return pii.pseudonymise_documents(table(spark, sf_dir, "documents"), DEMO_KEY)
