@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tripledger.llm import pii, simhash, toxicity
+from tripledger.llm import mixing, packing, pii, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -39,3 +39,15 @@ DEMO_KEY = b"tripledger demonstration key"
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text with pseudonyms, and where they stand in for what."""
     return pii.pseudonymise_documents(table(spark, sf_dir, "documents"), DEMO_KEY)
+
+
+@query
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of every document."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+@query
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sequence and place of every piece of every document."""
+    return packing.pack(table(spark, sf_dir, "documents"))
