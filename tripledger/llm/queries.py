@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tripledger.llm import mixing, packing, pii, quality, secrets, simhash, toxicity
+from tripledger.llm import language, mixing, packing, pii, quality, secrets, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -63,3 +63,9 @@ def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret spans of every document. A source is an owner, and a document a repository."""
     return secrets.report(table(spark, sf_dir, "documents"), owner_col="source", repo_col="doc_id")
+
+
+@query
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, and the mixture it is the largest part of."""
+    return language.identify_documents(table(spark, sf_dir, "documents"))
