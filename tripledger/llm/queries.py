@@ -4,7 +4,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tripledger.llm import language, mixing, packing, pii, quality, secrets, simhash, toxicity
+from tripledger.llm import language, mixing, packing, pii, quality, secrets, simhash, toxicity, warc
+from tripledger.sources.workdir import fresh_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -69,3 +70,26 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, and the mixture it is the largest part of."""
     return language.identify_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC archives and read back."""
+    path = fresh_dir(spark, "warc")
+    warc.write_pages(table(spark, sf_dir, "pages"), path)
+    return warc.archived_pages(spark, path)
+
+
+ORACLE_SQL["op10_warc"] = """
+WITH p AS (
+    SELECT page_id, coalesce(html, '') AS html FROM pages
+), sized AS (
+    SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest FROM p
+), grouped AS (
+    SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS first FROM sized
+)
+SELECT page_id, payload_bytes, payload_digest,
+    CASE WHEN payload_bytes >= 1000 AND page_id < first THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN payload_bytes >= 1000 AND page_id < first THEN first END AS refers_to
+FROM grouped
+"""
