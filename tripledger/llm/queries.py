@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tripledger.llm import language, mixing, packing, pii, quality, secrets, simhash, toxicity, warc
+from tripledger.llm import bm25, language, mixing, packing, pii, quality, secrets, simhash, toxicity, warc
 from tripledger.sources.workdir import fresh_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,3 +93,35 @@ SELECT page_id, payload_bytes, payload_digest,
     CASE WHEN payload_bytes >= 1000 AND page_id < first THEN first END AS refers_to
 FROM grouped
 """
+
+
+@query
+def op8_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents for every document whose id is divisible by 20, itself among them."""
+    docs = table(spark, sf_dir, "documents")
+    return bm25.search(docs, docs.where("doc_id % 20 = 0"))
+
+
+ORACLE_SQL["op8_bm25"] = r"""
+WITH words AS (
+    SELECT doc_id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')) AS w
+    FROM documents
+), tf AS (
+    SELECT doc_id, w, count(*) AS n FROM words GROUP BY ALL
+), size AS (
+    SELECT d.doc_id, coalesce(sum(n), 0) AS dl FROM documents d LEFT JOIN tf USING (doc_id) GROUP BY 1
+), mean AS (
+    SELECT avg(dl) AS avgdl, count(*) AS docs FROM size
+), idf AS (
+    SELECT w, ln(1 + (docs - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM tf, mean GROUP BY w, docs
+), scores AS (
+    SELECT q.doc_id AS query_id, d.doc_id,
+        round(sum(q.n * idf * d.n * 2.2 / (d.n + 1.2 * (0.25 + 0.75 * dl / avgdl))), 8) AS score
+    FROM tf q JOIN idf USING (w) JOIN tf d USING (w) JOIN size s ON s.doc_id = d.doc_id, mean
+    WHERE q.doc_id % 20 = 0 GROUP BY ALL
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM scores
+)
+SELECT query_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
