@@ -1,6 +1,7 @@
 """The registered queries in plain SQL, written against the same tables."""
 
-UNIT, MINUTE_UNIT, PERCENT_UNIT = 10_000, 60_000_000, 1_000_000
+#: No given value has a bit below 1 / SCALE.
+SCALE = 2**60
 
 EVENT_TYPES = ["view", "signup", "error", "click", "purchase"]
 DAILY_DOUBLES = [
@@ -15,17 +16,14 @@ DAILY_DOUBLES = [
 ]
 
 
-def total(x: str, unit: int = UNIT) -> str:
-    """SUM of doubles that does not depend on row order: whole steps of 1/unit and millionths
-    of a step are added as integers."""
-    steps = f"(({x}) * {unit}::DOUBLE)"
-    whole = f"SUM(CAST(FLOOR({steps}) AS BIGINT))"
-    rest = f"SUM(CAST(FLOOR(({steps} - FLOOR({steps})) * 1000000::DOUBLE + 0.5::DOUBLE) AS BIGINT))"
-    return f"((CAST({whole} AS DOUBLE) + CAST({rest} AS DOUBLE) / 1000000::DOUBLE) / {unit}::DOUBLE)"
+def total(x: str) -> str:
+    """The exact SUM of doubles, rounded once: scaled by a power of two the given values are whole
+    numbers, HUGEINT adds them without rounding, and text is read as the nearest double."""
+    return f"(CAST(CAST(SUM(CAST(({x}) * {SCALE}::DOUBLE AS HUGEINT)) AS VARCHAR) AS DOUBLE) / {SCALE}::DOUBLE)"
 
 
-def mean(x: str, unit: int = UNIT) -> str:
-    return f"({total(x, unit)} / NULLIF(COUNT({x}), 0))"
+def mean(x: str) -> str:
+    return f"({total(x)} / NULLIF(COUNT({x}), 0))"
 
 
 RAW = """
@@ -104,9 +102,9 @@ def daily(name: str = "daily_metrics", source: str = "fct_trips", where: str = "
 {name} AS (
     SELECT pickup_date AS date, COUNT(*) AS trip_count, {total("revenue")} AS total_revenue,
         {mean("fare_amount")} AS average_fare,
-        {mean("tip_percentage", PERCENT_UNIT)} AS average_tip_percentage,
+        {mean("tip_percentage")} AS average_tip_percentage,
         {mean("trip_distance")} AS average_trip_distance,
-        {mean("trip_duration_minutes", MINUTE_UNIT)} AS average_trip_duration,
+        {mean("trip_duration_minutes")} AS average_trip_duration,
         {total("fare_amount")} AS fare_sum, {total("tip_amount")} AS tip_sum,
         {total("trip_distance")} AS distance_sum
     FROM {source} WHERE {where} GROUP BY pickup_date

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripledger.contract import TABLES
+from tripledger.functions.numeric import exact_sums
 from tripledger.operators import compare, facts, groups, metrics, quality, records, refresh, staging
 from tripledger.plans.build import build_summary, build_tables, restate
 from tripledger.plans.publish import audit_publish, environment_checksums, point_views
@@ -627,11 +628,10 @@ def case_matrix(spark, sf):
     typed = staging.classify_rejects(staging.typed_trips(cases, keep=["case_name"]))
     flagged = facts.with_zone_flags(typed, lookup)
     unmatched = F.when(F.expr("pickup_unknown OR dropoff_unknown"), "unmatched").otherwise("fact")
-    return flagged.groupBy("case_name", F.coalesce("reject_reason", unmatched).alias("fate")).agg(
-        F.count("*").alias("trip_count"),
-        metrics.stable_sum(F.col("fare_amount")).alias("fare_sum"),
-        metrics.stable_sum(F.col("trip_duration_minutes")).alias("minutes"),
-    )
+    fates = flagged.withColumn("fate", F.coalesce("reject_reason", unmatched))
+    values = {"fare_sum": F.col("fare_amount"), "minutes": F.col("trip_duration_minutes")}
+    sums = exact_sums(fates, ["case_name", "fate"], values)
+    return sums.select("case_name", "fate", F.col("row_count").alias("trip_count"), *values)
 
 
 # --- measurement records -------------------------------------------------------------------

@@ -1,11 +1,11 @@
 """Numeric column helpers."""
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_REST = 1_000_000.0
-
 
 def is_finite(value: Column) -> Column:
     """TRUE for ordinary numbers, FALSE for NaN and infinities, NULL for NULL.
@@ -30,28 +30,160 @@ def to_bigint(value: Column, source: T.DataType) -> Column:
     return value.cast("bigint")
 
 
-def stable_sum(value: Column, unit: int = 10_000) -> Column:
-    """SUM of doubles that does not depend on the order in which rows arrive.
+# Exact sums. A finite double is an integer of at most 54 bits times a power of two. Its bin is
+# that power in steps of BIN bits; relative to the bin it is an integer of at most 72 bits, kept in
+# three limbs of LIMB bits. BIGINT sums of limbs hold for half a trillion rows per task and group,
+# beyond which Spark raises an overflow instead of returning a wrong sum.
+BIN = 16
+LIMB = 24
+
+
+def _power(exponent: Column) -> Column:
+    return F.pow(F.lit(2.0), exponent.cast("double"))
+
 
-    Floating-point sums change in their last digits with partitioning, task retries and
-    merge order, which would make two builds of the same table look different. Here every
-    value is counted in whole ``1/unit`` steps plus millionths of a step, both as BIGINT, and
-    BIGINT addition is exact. Values out of BIGINT range, NaN and infinities take the plain
-    SUM, as does a group whose step count overflows.
+def _scaled(value: Column, exponent: Column) -> Column:
+    """value * 2 ** exponent in two steps, since the power alone may be out of range."""
+    first = F.least(F.greatest(exponent, F.lit(-1000)), F.lit(1000))
+    return value * _power(first) * _power(exponent - first)
+
+
+def with_limbs(rows: DataFrame, column: str, tag: object) -> DataFrame:
+    """Add ``_bin``, three limbs ``_l0`` to ``_l2`` and ``_odd`` (the value where it is not
+    finite) of a double column, all with ``tag`` at the end. NULL and zero have no bin.
+
+    Every step is a projection of its own, so that what several steps use is computed once.
+    """
+    value, places, whole, high, middle = (f"_{n}{tag}" for n in ("real", "bin", "whole", "l2", "l1"))
+    big, small = F.lit(float(2 ** (2 * LIMB))), F.lit(float(2**LIMB))
+    rest = F.col(whole) - F.col(high) * big
+    out = rows.withColumn(value, F.when(is_finite(F.col(column)) & (F.col(column) != 0), F.col(column)))
+    out = out.withColumn(places, F.floor((F.floor(F.log2(F.abs(value))) - 54) / BIN).cast("int"))
+    out = out.withColumn(whole, _scaled(F.col(value), -BIN * F.col(places)))
+    out = out.withColumn(high, F.floor(F.col(whole) / big))
+    out = out.withColumn(middle, F.floor(rest / small))
+    return out.withColumns(
+        {
+            f"_l0{tag}": (rest - F.col(middle) * small).cast("bigint"),
+            f"_odd{tag}": F.when(~is_finite(F.col(column)), F.col(column)),
+        }
+    ).drop(value, whole)
+
+
+def _bind(value: Column, body) -> Column:
+    """body(value), value being computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+WIDE = "decimal(38,0)"
+
+
+def _amount(x: Column) -> Column:
+    """The whole number that an entry's limbs stand for."""
+    part = lambda name, bits: x[name].cast("decimal(20,0)") * F.lit(2**bits).cast("decimal(15,0)")
+    return (part("l0", 0) + part("l1", LIMB) + part("l2", 2 * LIMB)).cast(WIDE)
+
+
+def _digits(bins: Column, sign: Column) -> Column:
+    """(carry, digits): the total of (bin, l0, l1, l2) entries, times sign, in digits of BIN bits
+    from the lowest bin on, and what is left above them: 0, or -1 for a negative total."""
+    def step(state: Column, place: Column) -> Column:
+        here = F.aggregate(
+            F.filter(bins, lambda x: x["bin"] == place), state["carry"], lambda acc, x: (acc + _amount(x) * sign).cast(WIDE)
+        )
+        digit = F.pmod(here, F.lit(2**BIN).cast(WIDE)).cast(WIDE)
+        carry = ((here - digit).cast(WIDE) / F.lit(2**BIN).cast("decimal(5,0)")).cast(WIDE)
+        return F.struct(carry.alias("carry"), F.concat(state["digits"], F.array(digit.cast("bigint"))).alias("digits"))
+
+    start = F.struct(F.lit(0).cast(WIDE).alias("carry"), F.array().cast("array<bigint>").alias("digits"))
+    low, high = F.array_min(F.transform(bins, lambda x: x["bin"])), F.array_max(F.transform(bins, lambda x: x["bin"]))
+    return F.aggregate(F.sequence(low, high + 8), start, step)
+
+
+def total_of(bins: Column) -> Column:
+    """The correctly rounded sum of entries (bin, l0, l1, l2): the same as adding the values
+    with unlimited precision and rounding once. 0.0 for no entries."""
+    low = F.array_min(F.transform(bins, lambda x: x["bin"]))
+
+    def rounded(digits: Column) -> Column:
+        top = F.array_max(F.transform(digits, lambda d, i: F.when(d != 0, i)))
+        # six digits from the top hold more bits than a double; a bit beyond marks a rest
+        lead = sum(
+            (F.coalesce(F.get(digits, top - j), F.lit(0)).cast("decimal(6,0)") * F.lit(str(2 ** (BIN * (5 - j)))).cast("decimal(25,0)"))
+            for j in range(6)
+        )
+        rest = F.coalesce(F.exists(F.slice(digits, F.lit(1), F.greatest(top - 5, F.lit(0))), lambda d: d != 0), F.lit(False))
+        lead = lead.cast("decimal(38,0)")
+        even = F.pmod(lead, F.lit(2).cast("decimal(38,0)")) == 0
+        marked = F.when(rest & even, (lead + F.lit(1)).cast("decimal(38,0)")).otherwise(lead)
+        return F.when(top.isNull(), F.lit(0.0)).otherwise(_scaled(marked.cast("double"), BIN * (low + top - 5)))
+
+    # digits of the total and of its negative: those of the one that is not negative count
+    both = F.transform(F.array(F.lit(1), F.lit(-1)), lambda sign: _digits(bins, sign))
+
+    def signed(pair: Column) -> Column:
+        negative = pair[0]["carry"] < 0
+        size = _bind(F.when(negative, pair[1]["digits"]).otherwise(pair[0]["digits"]), rounded)
+        return F.when(negative, -size).otherwise(size)
+
+    # entries close together, as most are: their whole numbers fit one decimal
+    high = F.array_max(F.transform(bins, lambda x: x["bin"]))
+    limit = F.lit(10**15).cast(WIDE) * F.lit(10**10).cast("decimal(11,0)")
+    close = (high - low <= 2) & F.forall(bins, lambda x: F.abs(_amount(x)) < limit) & (F.size(bins) < 1000)
+    shift = lambda x: F.when(x["bin"] == low, F.lit(1)).when(x["bin"] == low + 1, F.lit(2**BIN)).otherwise(F.lit(2 ** (2 * BIN)))
+    plain = F.aggregate(
+        bins, F.lit(0).cast(WIDE), lambda acc, x: (acc + (_amount(x) * shift(x).cast("decimal(11,0)")).cast(WIDE)).cast(WIDE)
+    )
+    return (
+        F.when(F.size(bins) == 0, F.lit(0.0))
+        .when(close, _scaled(plain.cast("double"), BIN * low))
+        .otherwise(_bind(both, signed))
+    )
+
+
+def exact_sums(
+    df: DataFrame, keys: Sequence[str], values: dict[str, Column], counters: Sequence[str] = ()
+) -> DataFrame:
+    """Per group: keys, row_count, the SUM of each BIGINT column in counters, and for each value
+    its sum and, as ``<name>_count``, how many are not NULL.
+
+    The sum is exact: all finite doubles are added with unlimited precision and the total is
+    rounded once, so it does not depend on the order of rows, on partitioning or on retries. NaN
+    and infinities add up as SUM adds them. A sum is NULL where all values are NULL.
+
+    Rows are added up by their keys and bins before they are shuffled. A group has one entry per
+    combination of bins, which the magnitudes of its values bound; the entries are merged per group.
     """
-    steps = value * F.lit(float(unit))
-    whole = F.floor(steps)
-    rest = F.floor((steps - whole) * F.lit(_REST) + F.lit(0.5))
-    exact = (
-        F.try_sum(whole).cast("double") + F.try_sum(rest).cast("double") / F.lit(_REST)
-    ) / F.lit(float(unit))
-    in_range = F.max(F.abs(value)) < F.lit(9.0e18 / unit)
-    return F.when(in_range, F.coalesce(exact, F.sum(value))).otherwise(F.sum(value))
-
-
-def stable_mean(value: Column, unit: int = 10_000) -> Column:
-    """AVG on top of ``stable_sum``; NULLs are ignored, as AVG does."""
-    return stable_sum(value, unit) / F.nullif(F.count(value), F.lit(0))
+    names = list(values)
+    rows = df.select(*keys, *counters, *(values[n].cast("double").alias(f"_v{i}") for i, n in enumerate(names)))
+    for i in range(len(names)):
+        rows = with_limbs(rows, f"_v{i}", i)
+    sums = [F.count(F.lit(1)).alias("_n"), *(F.sum(c).alias(c) for c in counters)]
+    for i in range(len(names)):
+        sums += [F.sum(f"_{k}{i}").alias(f"_{k}{i}") for k in ("l0", "l1", "l2", "odd")]
+        sums.append(F.count(f"_v{i}").alias(f"_count{i}"))
+    fine = rows.groupBy(*keys, *(f"_bin{i}" for i in range(len(names)))).agg(*sums)
+    merged = [F.sum("_n").alias("row_count"), *(F.sum(c).alias(c) for c in counters)]
+    for i in range(len(names)):
+        entry = F.struct(F.col(f"_bin{i}").alias("bin"), *(F.col(f"_{k}{i}").alias(k) for k in ("l0", "l1", "l2")))
+        merged += [
+            F.collect_list(F.when(F.col(f"_bin{i}").isNotNull(), entry)).alias(f"_bins{i}"),
+            F.sum(f"_odd{i}").alias(f"_odd{i}"),
+            F.sum(f"_count{i}").alias(f"_count{i}"),
+        ]
+    coarse = fine.groupBy(*keys).agg(*merged)
+    every = F.array(*(F.col(f"_bins{i}") for i in range(len(names))))
+    coarse = coarse.withColumn("_totals", F.transform(every, total_of))
+    out = []
+    for i, n in enumerate(names):
+        total = F.coalesce(F.col(f"_odd{i}"), F.col("_totals")[i])
+        out += [F.when(F.col(f"_count{i}") > 0, total).alias(n), F.coalesce(f"_count{i}", F.lit(0)).alias(f"{n}_count")]
+    return coarse.select(*keys, F.coalesce("row_count", F.lit(0)).alias("row_count"), *counters, *out)
+
+
+def mean_of(name: str) -> Column:
+    """AVG from the columns of ``exact_sums``."""
+    return F.col(name) / F.nullif(F.col(f"{name}_count"), F.lit(0))
 
 
 def failures(condition: Column) -> Column:

@@ -6,15 +6,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripledger.functions.numeric import safe_ratio, stable_mean, stable_sum
+from tripledger.functions.numeric import exact_sums, mean_of, safe_ratio
 
-# Duration counts whole microseconds, the resolution of the timestamps behind it.
-_MINUTE_UNIT = 60_000_000
-_PERCENT_UNIT = 1_000_000
 
-
-def _trips() -> Column:
-    return F.count(F.lit(1)).alias("trip_count")
+def _sums(df: DataFrame, keys: Sequence[str], **columns: str) -> DataFrame:
+    """Exact sums of columns under new names, and trip_count."""
+    values = {name: F.col(column) for name, column in columns.items()}
+    return exact_sums(df, keys, values).withColumnRenamed("row_count", "trip_count")
 
 
 def daily_metrics(
@@ -32,50 +30,62 @@ def daily_metrics(
         fct = fct.where(F.col("pickup_date") >= F.lit(start))
     if end is not None:
         fct = fct.where(F.col("pickup_date") <= F.lit(end))
-    mean_fare = stable_mean(F.col("fare_amount"))
-    if fare_offset:
-        mean_fare = mean_fare + F.lit(fare_offset)
-    return fct.groupBy(F.col("pickup_date").alias("date")).agg(
-        _trips(),
-        stable_sum(F.col("revenue")).alias("total_revenue"),
+    sums = _sums(
+        fct.withColumn("date", F.col("pickup_date")),
+        ["date"],
+        revenue="revenue",
+        fare="fare_amount",
+        tip="tip_amount",
+        percentage="tip_percentage",
+        distance="trip_distance",
+        minutes="trip_duration_minutes",
+    )
+    mean_fare = mean_of("fare") + F.lit(fare_offset) if fare_offset else mean_of("fare")
+    return sums.select(
+        "date",
+        "trip_count",
+        F.col("revenue").alias("total_revenue"),
         mean_fare.alias("average_fare"),
-        stable_mean(F.col("tip_percentage"), _PERCENT_UNIT).alias("average_tip_percentage"),
-        stable_mean(F.col("trip_distance")).alias("average_trip_distance"),
-        stable_mean(F.col("trip_duration_minutes"), _MINUTE_UNIT).alias("average_trip_duration"),
-        stable_sum(F.col("fare_amount")).alias("fare_sum"),
-        stable_sum(F.col("tip_amount")).alias("tip_sum"),
-        stable_sum(F.col("trip_distance")).alias("distance_sum"),
+        mean_of("percentage").alias("average_tip_percentage"),
+        mean_of("distance").alias("average_trip_distance"),
+        mean_of("minutes").alias("average_trip_duration"),
+        F.col("fare").alias("fare_sum"),
+        F.col("tip").alias("tip_sum"),
+        F.col("distance").alias("distance_sum"),
     )
 
 
 def zone_metrics(fct: DataFrame) -> DataFrame:
     """One row per pickup zone that has trips."""
-    return fct.groupBy("pickup_zone_id", "pickup_zone").agg(
-        _trips(),
-        stable_sum(F.col("revenue")).alias("total_revenue"),
-        stable_mean(F.col("fare_amount")).alias("average_fare"),
-        stable_mean(F.col("trip_distance")).alias("average_trip_distance"),
+    keys = ["pickup_zone_id", "pickup_zone"]
+    sums = _sums(fct, keys, revenue="revenue", fare="fare_amount", distance="trip_distance")
+    return sums.select(
+        *keys,
+        "trip_count",
+        F.col("revenue").alias("total_revenue"),
+        mean_of("fare").alias("average_fare"),
+        mean_of("distance").alias("average_trip_distance"),
     )
 
 
 def monthly_rollup(daily: DataFrame) -> DataFrame:
     """Months from days. Means are sum over sum, weighted by trips."""
-    trips = F.sum("trip_count")
-    return daily.groupBy(F.trunc("date", "MM").alias("month")).agg(
-        trips.alias("trip_count"),
-        stable_sum(F.col("total_revenue")).alias("revenue"),
-        (stable_sum(F.col("fare_sum")) / trips).alias("average_fare"),
-        (stable_sum(F.col("tip_sum")) / trips).alias("average_tip"),
-        (stable_sum(F.col("distance_sum")) / trips).alias("average_distance"),
+    days = daily.withColumn("month", F.trunc("date", "MM"))
+    names = ("total_revenue", "fare_sum", "tip_sum", "distance_sum")
+    return exact_sums(days, ["month"], {n: F.col(n) for n in names}, ["trip_count"]).select(
+        "month",
+        "trip_count",
+        F.col("total_revenue").alias("revenue"),
+        (F.col("fare_sum") / F.col("trip_count")).alias("average_fare"),
+        (F.col("tip_sum") / F.col("trip_count")).alias("average_tip"),
+        (F.col("distance_sum") / F.col("trip_count")).alias("average_distance"),
     )
 
 
 def zone_monthly(fct: DataFrame) -> DataFrame:
     """Trips and revenue per pickup zone and month."""
-    month = F.trunc("pickup_date", "MM").alias("month")
-    return fct.groupBy("pickup_zone_id", month).agg(
-        _trips(), stable_sum(F.col("revenue")).alias("revenue")
-    )
+    months = fct.withColumn("month", F.trunc("pickup_date", "MM"))
+    return _sums(months, ["pickup_zone_id", "month"], revenue="revenue").drop("revenue_count")
 
 
 def _growth(name: str, previous: Column) -> Column:
@@ -165,9 +175,7 @@ def date_bounds(raw: DataFrame, year: int, months: int, start_month: int = 1) ->
 
 def payment_mix(stg: DataFrame) -> DataFrame:
     """Trips and total amount per payment label."""
-    return stg.groupBy("payment_type").agg(
-        _trips(), stable_sum(F.col("total_amount")).alias("total_amount")
-    )
+    return _sums(stg, ["payment_type"], total_amount="total_amount").drop("total_amount_count")
 
 
 def top_days(daily: DataFrame, n: int) -> DataFrame:
