@@ -16,6 +16,7 @@ def local_session(name: str, cpus: int = 8, folder: str | None = None) -> SparkS
         .config("spark.sql.shuffle.partitions", str(cpus))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.warehouse.dir", f"{folder}/warehouse")
+        .config("spark.checkpoint.dir", f"{folder}/shared")
         .config("spark.log.level", "ERROR")
     )
     return builder.getOrCreate()

@@ -68,5 +68,5 @@ def test_streaming_state(spark, dim, tmp_path):
     assert as_set(rejects) == as_set(reject_counts(both))
     ingest.stream_daily(trips(), dim, str(tmp_path / "d")).awaitTermination()
     expected = daily_metrics(fct_trips(stage(both), dim))
-    daily = ingest.latest(spark, f"{tmp_path}/d/daily", "date").select(*expected.columns)
+    daily = ingest.latest(spark, f"{tmp_path}/d/daily_state", "date").select(*expected.columns)
     assert as_set(daily) == as_set(expected)

@@ -74,6 +74,19 @@ TABLE_COMMENTS = {
     "monthly_metrics": "Trip-weighted monthly means and month-over-month growth.",
 }
 
+COLUMN_COMMENTS = {
+    "stg_trips": {"pickup_date": "Calendar date of the pickup.", "trip_duration_minutes": "Dropoff minus pickup."},
+    "dim_zones": {"zone_id": "Unique, never NULL."},
+    "fct_trips": {
+        "revenue": "What counts as income of a trip; its definition is a parameter of the build.",
+        "revenue_per_mile": "NULL for a trip without distance.",
+        "pickup_month": "First day of the pickup month: the folders of the table. Filter on it to read few.",
+    },
+    "daily_metrics": {"date": "Unique, never NULL.", "fare_sum": "Kept for the monthly mean."},
+    "zone_metrics": {"pickup_zone_id": "Unique, never NULL."},
+    "monthly_metrics": {"month_over_month_trip_growth": "Fraction of the month before; NULL after a gap."},
+}
+
 
 @dataclass(frozen=True)
 class Bounds:

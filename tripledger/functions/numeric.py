@@ -154,6 +154,19 @@ def exact_sums(
     Rows are added up by their keys and bins before they are shuffled. A group has one entry per
     combination of bins, which the magnitudes of its values bound; the entries are merged per group.
     """
+    parts = partial_sums(df, keys, values, counters)
+    return merge_sums(parts, keys, list(values), counters)
+
+
+def bin_columns(count: int) -> list[str]:
+    """The columns by which ``partial_sums`` groups besides the keys."""
+    return [f"_bin{i}" for i in range(count)]
+
+
+def partial_sums(
+    df: DataFrame, keys: Sequence[str], values: dict[str, Column], counters: Sequence[str] = ()
+) -> DataFrame:
+    """The first half of ``exact_sums``: one row per keys and bins, which ``merge_sums`` merges."""
     names = list(values)
     rows = df.select(*keys, *counters, *(values[n].cast("double").alias(f"_v{i}") for i, n in enumerate(names)))
     for i in range(len(names)):
@@ -162,7 +175,13 @@ def exact_sums(
     for i in range(len(names)):
         sums += [F.sum(f"_{k}{i}").alias(f"_{k}{i}") for k in ("l0", "l1", "l2", "odd")]
         sums.append(F.count(f"_v{i}").alias(f"_count{i}"))
-    fine = rows.groupBy(*keys, *(f"_bin{i}" for i in range(len(names)))).agg(*sums)
+    return rows.groupBy(*keys, *bin_columns(len(names))).agg(*sums)
+
+
+def merge_sums(
+    parts: DataFrame, keys: Sequence[str], names: Sequence[str], counters: Sequence[str] = ()
+) -> DataFrame:
+    """The second half of ``exact_sums``."""
     merged = [F.sum("_n").alias("row_count"), *(F.sum(c).alias(c) for c in counters)]
     for i in range(len(names)):
         entry = F.struct(F.col(f"_bin{i}").alias("bin"), *(F.col(f"_{k}{i}").alias(k) for k in ("l0", "l1", "l2")))
@@ -171,7 +190,7 @@ def exact_sums(
             F.sum(f"_odd{i}").alias(f"_odd{i}"),
             F.sum(f"_count{i}").alias(f"_count{i}"),
         ]
-    coarse = fine.groupBy(*keys).agg(*merged)
+    coarse = parts.groupBy(*keys).agg(*merged)
     every = F.array(*(F.col(f"_bins{i}") for i in range(len(names))))
     coarse = coarse.withColumn("_totals", F.transform(every, total_of))
     out = []

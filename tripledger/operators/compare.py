@@ -11,6 +11,14 @@ from tripledger.functions.numeric import failures, is_finite
 from tripledger.sources.workdir import materialize
 
 
+#: Every difference between two values shows in their JSON.
+JSON_EXACT = {
+    "ignoreNullFields": "false",
+    "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+    "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS",
+}
+
+
 def schema_diff(left: DataFrame, right: DataFrame) -> list[str]:
     """Differences in column order, name and type; empty when the schemas agree."""
     a, b = left.dtypes, right.dtypes
@@ -98,8 +106,9 @@ def positional_mismatches(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def row_fingerprint(columns: Sequence[str]) -> Column:
-    """SHA-256 of a row as JSON; NULL fields are written out, so they differ from absent ones."""
-    row = F.to_json(F.struct(*(F.col(name) for name in columns)), {"ignoreNullFields": "false"})
+    """SHA-256 of a row as JSON; NULL fields are written out, so they differ from absent ones, and
+    timestamps to the microsecond."""
+    row = F.to_json(F.struct(*(F.col(name) for name in columns)), JSON_EXACT)
     return F.sha2(row, 256)
 
 
@@ -144,49 +153,78 @@ def unchanged(before: DataFrame, after: DataFrame) -> DataFrame:
 def tolerance_diff(
     left: DataFrame, right: DataFrame, keys: Sequence[str], epsilon: float
 ) -> DataFrame:
-    """Cells of the double columns that differ by more than ``epsilon`` times the larger
-    magnitude, and keys that one side lacks (``only_left``, ``only_right``).
-
-    NULL equals NULL only, NaN equals NaN only. Keys must be unique on each side and may be
-    NULL. Output: the keys, column_name, left_value, right_value.
+    """Cells that differ, as (keys, column_name, left_value, right_value) with the values as text.
+
+    Numbers differ if they are further apart than ``epsilon`` times the larger magnitude; all
+    other values if they are not the same. NULL equals NULL only,
+    NaN equals NaN only. Keys may be NULL. A key that one side lacks is reported as ``only_left``
+    or ``only_right``, and one that a side has several times as ``repeated_left`` or
+    ``repeated_right`` with the numbers of rows; the cells of a repeated key are not compared, as
+    there is no telling which row belongs to which.
     """
     _require_same_schema(left, right)
-    measures = [f.name for f in left.schema if f.name not in keys and f.dataType == T.DoubleType()]
-    values = F.struct(*measures) if measures else F.struct(F.lit(1).alias("_none"))
-    sides = left.select(*keys, values.alias("l"), F.lit(None).cast(
-        left.select(values).schema[0].dataType).alias("r")).unionAll(
-        right.select(*keys, F.lit(None).cast(right.select(values).schema[0].dataType), values)
-    )
+    measures = [f for f in left.schema if f.name not in keys]
+    one = F.lit(1).alias("_one")
+    values = F.struct(one, *(F.col(f.name).alias(f"c{i}") for i, f in enumerate(measures)))
+    shown = F.struct(one, *(comparable(left, f.name).alias(f"c{i}") for i, f in enumerate(measures)))
+
+    def side(df: DataFrame, mine: str) -> DataFrame:
+        return df.select(*keys, values.alias("value"), shown.alias("text"), F.lit(mine).alias("_side"))
+
+    both = side(left, "l").unionAll(side(right, "r"))
+    first = []
+    for s in "lr":
+        here = F.col("_side") == s
+        first += [
+            failures(here).alias(f"{s}n"),
+            F.first(F.when(here, F.col("value")), ignorenulls=True).alias(s),
+            F.first(F.when(here, F.col("text")), ignorenulls=True).alias(f"{s}t"),
+        ]
     # Grouping on the keys aligns the two sides; it treats NULL keys as equal.
-    paired = sides.groupBy(*keys).agg(F.max("l").alias("l"), F.max("r").alias("r"))
-
-    def cell(name: str, a: Column, b: Column, show: Column) -> Column:
-        return F.when(
-            show,
-            F.struct(
-                F.lit(name).alias("column_name"),
-                a.cast("double").alias("left_value"),
-                b.cast("double").alias("right_value"),
-            ),
-        )
-
-    def differs(a: Column, b: Column) -> Column:
-        close = F.abs(a - b) <= F.lit(epsilon) * F.greatest(F.abs(a), F.abs(b))
-        return ~(a.eqNullSafe(b) | F.coalesce(close & is_finite(a) & is_finite(b), F.lit(False)))
+    paired = both.groupBy(*keys).agg(*first)
 
-    both = F.col("l").isNotNull() & F.col("r").isNotNull()
-    null = F.lit(None)
+    def cell(name: str, show: Column, a: Column, b: Column) -> Column:
+        entry = F.struct(
+            F.lit(name).alias("column_name"),
+            a.cast("string").alias("left_value"),
+            b.cast("string").alias("right_value"),
+        )
+        return F.when(show, entry)
+
+    def differs(field: T.StructField, i: int) -> Column:
+        a, b = F.col(f"l.c{i}"), F.col(f"r.c{i}")
+        if not isinstance(field.dataType, T.NumericType):
+            return ~F.col(f"lt.c{i}").eqNullSafe(F.col(f"rt.c{i}"))
+        x, y = a.cast("double"), b.cast("double")
+        close = F.abs(x - y) <= F.lit(epsilon) * F.greatest(F.abs(x), F.abs(y))
+        return ~(a.eqNullSafe(b) | F.coalesce(close & is_finite(x) & is_finite(y), F.lit(False)))
+
+    single = (F.col("ln") == 1) & (F.col("rn") == 1)
+    null, counts = F.lit(None), (F.col("ln"), F.col("rn"))
     cells = [
-        cell("only_left", null, null, F.col("r").isNull()),
-        cell("only_right", null, null, F.col("l").isNull()),
+        cell("only_left", F.col("rn") == 0, null, null),
+        cell("only_right", F.col("ln") == 0, null, null),
+        cell("repeated_left", F.col("ln") > 1, *counts),
+        cell("repeated_right", F.col("rn") > 1, *counts),
         *(
-            cell(m, F.col(f"l.{m}"), F.col(f"r.{m}"), both & differs(F.col(f"l.{m}"), F.col(f"r.{m}")))
-            for m in measures
+            cell(f.name, single & differs(f, i), F.col(f"lt.c{i}"), F.col(f"rt.c{i}"))
+            for i, f in enumerate(measures)
         ),
     ]
     return paired.select(*keys, F.inline(F.array_compact(F.array(*cells))))
 
 
+def comparable(df: DataFrame, field: str) -> Column:
+    """A column as text that is equal exactly where the values are; maps ignore entry order."""
+    kind = df.schema[field].dataType
+    value = F.col(field)
+    if isinstance(kind, T.MapType):
+        return F.to_json(F.array_sort(F.map_entries(value)), JSON_EXACT)
+    if isinstance(kind, (T.ArrayType, T.StructType)):
+        return F.to_json(value, JSON_EXACT)
+    return F.hex(value) if isinstance(kind, T.BinaryType) else value.cast("string")
+
+
 _REPORT = (
     "table_name string, candidate string, same_schema boolean, baseline_rows bigint, "
     "candidate_rows bigint, differing_rows bigint, nonfinite_rows bigint, equivalent boolean, "

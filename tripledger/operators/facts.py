@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tripledger.functions.numeric import failures, safe_ratio, to_bigint
 from tripledger.functions.trip import revenue
-from tripledger.operators.joins import fits_broadcast, flag_unknown, known_ids, lookup_join
+from tripledger.operators.joins import flag_unknown, known_ids, lookup_join
 from tripledger.sources.sinks import spread
 
 
@@ -22,13 +22,15 @@ def dim_zones(raw_zones: DataFrame) -> DataFrame:
     )
 
 
-def fct_trips(stg: DataFrame, dim: DataFrame, variant: str = "fare") -> DataFrame:
-    """Staged trips whose pickup and dropoff zones are both known, with revenue and ratios."""
+def fct_trips(
+    stg: DataFrame, dim: DataFrame, variant: str = "fare", small: bool | None = None
+) -> DataFrame:
+    """Staged trips whose pickup and dropoff zones are both known, with revenue and ratios.
+    small: the dimension is known to fit a broadcast."""
     pickup = dim.select(F.col("zone_id").alias("_pickup"), F.col("zone_name").alias("pickup_zone"))
     dropoff = dim.select(
         F.col("zone_id").alias("_dropoff"), F.col("zone_name").alias("dropoff_zone")
     )
-    small = fits_broadcast(pickup)
     joined = lookup_join(stg, pickup, [("pickup_zone_id", "_pickup")], small=small)
     joined = lookup_join(joined, dropoff, [("dropoff_zone_id", "_dropoff")], small=small)
     earned = revenue(variant)
@@ -74,9 +76,9 @@ def between_dates(stored: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
 
 def with_zone_flags(trips: DataFrame, dim: DataFrame) -> DataFrame:
     """Add ``pickup_unknown`` and ``dropoff_unknown``: the zone id is NULL or not in ``dim``."""
-    ids, small = known_ids(dim, "zone_id")
-    trips = flag_unknown(trips, ids, "zone_id", "pickup_zone_id", "pickup_unknown", small)
-    return flag_unknown(trips, ids, "zone_id", "dropoff_zone_id", "dropoff_unknown", small)
+    ids = known_ids(dim, "zone_id")
+    trips = flag_unknown(trips, ids, "zone_id", "pickup_zone_id", "pickup_unknown")
+    return flag_unknown(trips, ids, "zone_id", "dropoff_zone_id", "dropoff_unknown")
 
 
 def unmatched_zones(stg: DataFrame, dim: DataFrame) -> DataFrame:

@@ -8,9 +8,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tripledger.functions.numeric import failures
+from tripledger.operators.compare import comparable
 
 OTHER = "(other)"
 
@@ -39,17 +39,6 @@ def group_completeness(
     )
 
 
-def comparable(df: DataFrame, field: str) -> Column:
-    """A column as text that is equal exactly where the values are; maps ignore entry order."""
-    kind = df.schema[field].dataType
-    value = F.col(field)
-    if isinstance(kind, T.MapType):
-        return F.to_json(F.array_sort(F.map_entries(value)))
-    if isinstance(kind, (T.ArrayType, T.StructType)):
-        return F.to_json(value)
-    return value.cast("string")
-
-
 def uniform_within_group(
     df: DataFrame, group: Sequence[str], fields: Sequence[str], allow_null: bool = True
 ) -> DataFrame:
@@ -87,10 +76,24 @@ def uniform_within_group(
 def pivot_members(
     df: DataFrame, row: str, member: str, expected: Sequence[str], value: str, digits: int = 3
 ) -> DataFrame:
-    """One row per ``row`` value and one column per member: the value, rounded for display.
-    Where a cell has several values, the largest shows."""
-    wide = df.groupBy(row).pivot(member, list(expected)).agg(F.max(value))
-    return wide.select(row, *(F.round(F.col(name), digits).alias(name) for name in expected))
+    """One row per ``row`` value and one column per member: the value, rounded for display. Where
+    a cell has several values, the largest shows. What the columns cannot show is counted:
+    ``other_rows``, rows whose member is not listed, and ``repeated_rows``, rows that share a cell
+    with another one."""
+    listed = F.coalesce(F.col(member).isin(list(expected)), F.lit(False))
+    cells, counts = [], []
+    for i, name in enumerate(expected):
+        here = F.col(member) == F.lit(name)
+        cells.append(F.max(F.when(here, F.col(value))).alias(f"_cell{i}"))
+        counts.append(failures(here).alias(f"_rows{i}"))
+    wide = df.groupBy(row).agg(*cells, *counts, failures(~listed).alias("other_rows"))
+    repeated = sum((F.greatest(F.col(f"_rows{i}") - 1, F.lit(0)) for i in range(len(expected))), F.lit(0))
+    return wide.select(
+        row,
+        *(F.round(F.col(f"_cell{i}"), digits).alias(name) for i, name in enumerate(expected)),
+        "other_rows",
+        repeated.cast("bigint").alias("repeated_rows"),
+    )
 
 
 def max_per_group(df: DataFrame, group: str, value: str) -> DataFrame:

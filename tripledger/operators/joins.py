@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripledger.sources.workdir import materialize
+from tripledger.sources.sinks import salts, with_salt
 
 BROADCAST_ROWS = 500_000
 BROADCAST_BYTES = 64 * 1024 * 1024
-SALTS = 64
 
 
 def fits_broadcast(
@@ -45,32 +44,32 @@ def lookup_join(
 ) -> DataFrame:
     """Join ``rows`` to a lookup on pairs of (row column, lookup column).
 
-    A lookup that measures small is broadcast, and ``rows`` stays where it is. A larger one is
-    joined by shuffle, and a key that holds a large share of ``rows`` must not end up in one
-    task: adaptive execution splits such partitions, and where it is switched off the key is
-    salted, with one copy of the lookup per salt. All ways give the same rows. Column names of
-    the two sides must differ. ``how`` keeps or filters ``rows`` (inner, left, left_semi,
-    left_anti).
+    Nothing runs here. A lookup that the caller has measured (``fits_broadcast``) is broadcast,
+    and ``rows`` stays where it is. Otherwise Spark decides by the sizes it knows, broadcasting up
+    to its own checked limit. A key that holds a large share of ``rows`` must not end up in one
+    task of a shuffled join: adaptive execution splits such partitions, and where it is switched
+    off the key is salted, with one copy of the lookup per salt. All ways give the same rows.
+    Column names of the two sides must differ. ``how`` keeps or filters ``rows`` (inner, left,
+    left_semi, left_anti).
     """
     if how not in ("inner", "left", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how!r}")
-    if small is None:
-        small = fits_broadcast(lookup)
     keys = [F.col(left) == F.col(right) for left, right in on]
     if small:
         return rows.join(F.broadcast(lookup), keys, how)
     if splits_skew(rows.sparkSession):
         return rows.join(lookup, keys, how)
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)))
+    salted = with_salt(rows, "_salt")
+    last = F.lit(salts(rows.sparkSession) - 1)
     copies = lookup.withColumn(
-        "_lookup_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>"))
+        "_lookup_salt", F.explode(F.sequence(F.lit(0), last).cast("array<bigint>"))
     )
     joined = salted.join(copies, [*keys, F.col("_salt") == F.col("_lookup_salt")], how)
     return joined.drop("_salt", "_lookup_salt")
 
 
 def flag_unknown(
-    rows: DataFrame, ids: DataFrame, id_column: str, column: str, flag: str, small: bool | None
+    rows: DataFrame, ids: DataFrame, id_column: str, column: str, flag: str, small: bool | None = None
 ) -> DataFrame:
     """Add a flag that is TRUE where ``column`` has no match in ``ids`` (NULL has none).
 
@@ -81,14 +80,6 @@ def flag_unknown(
     return joined.withColumn(flag, F.col("_known").isNull()).drop("_known")
 
 
-def known_ids(lookup: DataFrame, column: str) -> tuple[DataFrame, bool]:
-    """The ids of a lookup, once each and without NULL, and whether they may be broadcast.
-
-    A lookup that is small as it stands needs no more than a count. Of a larger one the
-    distinct ids are stored, because they are both measured and joined.
-    """
-    present = lookup.select(column).where(F.col(column).isNotNull())
-    if fits_broadcast(present):
-        return present.distinct(), True
-    ids = materialize(present.distinct(), "ids")
-    return ids, fits_broadcast(ids)
+def known_ids(lookup: DataFrame, column: str) -> DataFrame:
+    """The ids of a lookup, once each and without NULL."""
+    return lookup.select(column).where(F.col(column).isNotNull()).distinct()

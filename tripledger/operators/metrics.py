@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripledger.functions.numeric import exact_sums, mean_of, safe_ratio
+from tripledger.functions.numeric import exact_sums, mean_of, merge_sums, partial_sums, safe_ratio
 
 
 def _sums(df: DataFrame, keys: Sequence[str], **columns: str) -> DataFrame:
@@ -30,16 +30,28 @@ def daily_metrics(
         fct = fct.where(F.col("pickup_date") >= F.lit(start))
     if end is not None:
         fct = fct.where(F.col("pickup_date") <= F.lit(end))
-    sums = _sums(
-        fct.withColumn("date", F.col("pickup_date")),
-        ["date"],
-        revenue="revenue",
-        fare="fare_amount",
-        tip="tip_amount",
-        percentage="tip_percentage",
-        distance="trip_distance",
-        minutes="trip_duration_minutes",
-    )
+    return daily_from_parts(daily_parts(fct), fare_offset)
+
+
+DAILY_SUMS = {
+    "revenue": "revenue",
+    "fare": "fare_amount",
+    "tip": "tip_amount",
+    "percentage": "tip_percentage",
+    "distance": "trip_distance",
+    "minutes": "trip_duration_minutes",
+}
+
+
+def daily_parts(fct: DataFrame) -> DataFrame:
+    """Partial exact sums per pickup date: a date has a few rows, by the magnitude of its values."""
+    dated = fct.withColumn("date", F.col("pickup_date"))
+    return partial_sums(dated, ["date"], {name: F.col(c) for name, c in DAILY_SUMS.items()})
+
+
+def daily_from_parts(parts: DataFrame, fare_offset: float = 0.0) -> DataFrame:
+    """The daily metrics of ``daily_parts``."""
+    sums = merge_sums(parts, ["date"], list(DAILY_SUMS)).withColumnRenamed("row_count", "trip_count")
     mean_fare = mean_of("fare") + F.lit(fare_offset) if fare_offset else mean_of("fare")
     return sums.select(
         "date",
@@ -122,6 +134,7 @@ def month_over_month(monthly: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         .groupBy(*keys, "month")
         .agg(F.max("this").alias("this"), F.max("previous").alias("previous"))
         .where(F.col("this").isNotNull())
+        .withColumn("previous", F.when(F.col("month").isNotNull(), F.col("previous")))
         .select(*keys, "month", "this.*", "previous")
     )
     return _with_growth(

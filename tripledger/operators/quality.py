@@ -132,10 +132,10 @@ def surplus_keys(df: DataFrame, key: str) -> DataFrame:
 
 def orphans(child: DataFrame, foreign_key: str, parent: DataFrame, key: str) -> DataFrame:
     """Child rows whose non-NULL foreign key has no parent."""
-    ids, small = known_ids(parent, key)
+    ids = known_ids(parent, key)
     listed = ids.select(F.col(key).alias("_parent_key"))
     present = child.where(F.col(foreign_key).isNotNull())
-    return lookup_join(present, listed, [(foreign_key, "_parent_key")], "left_anti", small)
+    return lookup_join(present, listed, [(foreign_key, "_parent_key")], "left_anti")
 
 
 def bad_references(fct: DataFrame, dim: DataFrame) -> DataFrame:
@@ -152,12 +152,12 @@ def with_not_in_flags(fct: DataFrame, dim: DataFrame) -> DataFrame:
     dimension makes it TRUE for every id. Written as existence flags so that the join stays a
     hash join; NOT IN under OR would compare every fact with every zone.
     """
-    ids, small = known_ids(dim, "zone_id")
+    ids = known_ids(dim, "zone_id")
     has_null = dim.agg(F.coalesce(F.bool_or(F.col("zone_id").isNull()), F.lit(False))).scalar()
     is_empty = dim.agg(F.count(F.lit(1)) == 0).scalar()
     for role in ("pickup", "dropoff"):
         column, flag = f"{role}_zone_id", f"{role}_not_in"
-        fct = flag_unknown(fct, ids, "zone_id", column, flag, small)
+        fct = flag_unknown(fct, ids, "zone_id", column, flag)
         verdict = (
             F.when(~F.col(flag), False)
             .when(is_empty, True)

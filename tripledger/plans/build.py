@@ -19,7 +19,7 @@ from tripledger.sources.files import storage_stats
 from tripledger.sources.months import read_months
 from tripledger.sources.sinks import write_table
 from tripledger.sources.workdir import fresh_dir
-from tripledger.sources.zones import read_zone_csv
+from tripledger.sources.zones import check_zone_lookup, read_zone_csv
 
 
 @dataclass
@@ -196,7 +196,9 @@ def build_from_files(
     **options,
 ) -> Build:
     """Full rebuild from the selected monthly files and the zone lookup of a folder. A missing
-    month or an unreadable lookup fails before anything is written."""
+    month or column, and a lookup that is unreadable, empty or has an id twice or none, raise before
+    anything is written."""
     raw = read_months(spark, raw_dir, year, months, start_month, pattern)
     zones = read_zone_csv(spark, f"{raw_dir.rstrip('/')}/{ZONE_FILE}")
+    check_zone_lookup(zones)
     return build_tables(raw, zones, bounds, **options)

@@ -1,10 +1,11 @@
 """Publishing: consumers read views, and views move only after the checks have passed."""
 
+from uuid import uuid4
+
 from pyspark.sql import DataFrame, SparkSession
 
-from tripledger.contract import TABLE_COMMENTS, Bounds
+from tripledger.contract import COLUMN_COMMENTS, TABLE_COMMENTS, Bounds
 from tripledger.operators.compare import checksums, database_tables
-from tripledger.operators.facts import PARTITION
 from tripledger.operators.quality import gate
 from tripledger.plans.build import Build, report_for
 from tripledger.sources.workdir import shared_dir
@@ -16,18 +17,56 @@ def ensure_database(spark: SparkSession, database: str) -> None:
     spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}` LOCATION '{location}'")
 
 
+POINTER = "current_build"
+
+
+def _pointer(build: str, paths: dict[str, str]) -> str:
+    listed = ", ".join(f"'{name}', '{path}'" for name, path in paths.items())
+    return f"SELECT '{build}' AS build, {f'map({listed})' if paths else 'CAST(map() AS MAP<STRING, STRING>)'} AS paths"
+
+
 def point_views(spark: SparkSession, database: str, paths: dict[str, str]) -> None:
-    """Point the views of a database at stored tables. Each view switches in one step, and the
-    folders that older readers still use stay in place."""
+    """Point the views of a database at stored tables, all of them in one step.
+
+    Every view holds the old and the new version of its table, and shows the one that the view
+    ``current_build`` names. Spark folds that name into the plan, so only the shown version is
+    read. First the views get their new version, which changes nothing to see; then
+    ``current_build`` is replaced, which switches all of them. A failure before that step leaves
+    everything as it was, and folders that older readers still use stay in place.
+    """
     ensure_database(spark, database)
+    pointer = f"`{database}`.`{POINTER}`"
+    if not spark.catalog.tableExists(f"{database}.{POINTER}"):
+        spark.sql(f"CREATE VIEW {pointer} AS {_pointer('', {})}")
+    before = spark.table(f"{database}.{POINTER}").first()
+    build = uuid4().hex
     for name, path in paths.items():
-        stored = spark.read.parquet(path).drop(PARTITION)
-        columns = ", ".join(f"`{column}`" for column in stored.columns)
-        comment = TABLE_COMMENTS.get(name, "")
-        spark.sql(
-            f"CREATE OR REPLACE VIEW `{database}`.`{name}` COMMENT '{comment}' "
-            f"AS SELECT {columns} FROM parquet.`{path}`"
-        )
+        _stage_view(spark, database, name, path, build, before.paths.get(name), before.build)
+    kept = {**before.paths, **paths}
+    for name in set(before.paths) - set(paths):  # tables that stay as they are
+        _stage_view(spark, database, name, kept[name], build, kept[name], before.build)
+    spark.sql(f"CREATE OR REPLACE VIEW {pointer} AS {_pointer(build, kept)}")
+
+
+def _stage_view(
+    spark: SparkSession, database: str, name: str, new: str, build: str, old: str | None, shown: str
+) -> None:
+    """Let a view show the new path once the pointer names ``build``, and the old one until then."""
+    columns = spark.read.parquet(new).columns
+
+    def version(path: str, when: str) -> str:
+        have = spark.read.parquet(path).columns
+        listed = ", ".join(f"`{c}`" if c in have else f"NULL AS `{c}`" for c in columns)
+        current = f"(SELECT build FROM `{database}`.`{POINTER}`)"
+        return f"SELECT {listed} FROM parquet.`{path}` WHERE {current} = '{when}'"
+
+    versions = [version(new, build)] + ([version(old, shown)] if old else [])
+    comments = COLUMN_COMMENTS.get(name, {})
+    named = ", ".join(f"`{c}`" + (f" COMMENT '{comments[c]}'" if c in comments else "") for c in columns)
+    spark.sql(
+        f"CREATE OR REPLACE VIEW `{database}`.`{name}` ({named}) "
+        f"COMMENT '{TABLE_COMMENTS.get(name, '')}' AS {' UNION ALL '.join(versions)}"
+    )
 
 
 def audit_publish(

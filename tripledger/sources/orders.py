@@ -61,12 +61,13 @@ def order_trips(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def order_zones(spark: SparkSession, folder: str, without: str = "MIDDLE EAST") -> DataFrame:
-    """Raw zone lookup: nations by region. One region is left out, so that some trips refer to
+def order_zones(spark: SparkSession, folder: str, without: str | None = None) -> DataFrame:
+    """Raw zone lookup: nations by region. One region may be left out, so that some trips refer to
     zones that the lookup does not have."""
     nations, regions = table(spark, folder, "nation"), table(spark, folder, "region")
-    kept = regions.where(F.col("r_name") != without)
-    return nations.join(kept, F.col("n_regionkey") == F.col("r_regionkey")).select(
+    if without is not None:
+        regions = regions.where(F.col("r_name") != without)
+    return nations.join(regions, F.col("n_regionkey") == F.col("r_regionkey")).select(
         F.col("n_nationkey").alias("LocationID"),
         F.col("r_name").alias("Borough"),
         F.col("n_name").alias("Zone"),

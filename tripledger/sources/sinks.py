@@ -7,6 +7,17 @@ from pyspark.sql import types as T
 SALTS = 64
 
 
+def with_salt(df: DataFrame, name: str) -> DataFrame:
+    """Number rows round robin within their partition, up to the number of salts. Rows of equal
+    content get different salts, and a repeated task gives the same ones to the same input."""
+    return df.withColumn(name, F.monotonically_increasing_id() % salts(df.sparkSession))
+
+
+def salts(spark: SparkSession) -> int:
+    """As many as the session has cores to use at once, and SALTS at least."""
+    return max(SALTS, spark.sparkContext.defaultParallelism)
+
+
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Bring rows of one key together for a partitioned write, without one task per key.
 
@@ -15,7 +26,7 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     """
     if df.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true":
         return df.hint("rebalance", key)
-    return df.repartition(F.col(key), F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)))
+    return with_salt(df, "_salt").repartition(key, "_salt").drop("_salt")
 
 
 def write_table(df: DataFrame, path: str, partition_by: str | None = None) -> None:
@@ -39,15 +50,32 @@ def nested_as_json(df: DataFrame) -> DataFrame:
     )
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """CSV with a header; nested cells are JSON and NULL is blank. Quotes inside a cell are
-    doubled, so that any CSV reader understands the JSON cells."""
-    nested_as_json(df).write.mode("error").option("header", True).option("escape", '"').csv(path)
+#: Cells keep their spaces and line ends; quotes inside a cell are doubled, as any CSV reader expects.
+CSV = {
+    "header": "true",
+    "quote": '"',
+    "escape": '"',
+    "lineSep": "\n",
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
+#: No cell reads like this: a blank cell is NULL, and an empty text is written as two quotes.
+NULL_CELL = "\u0000NULL\u0000"
+
+
+def write_csv(df: DataFrame, path: str, rows_per_file: int = 500_000) -> None:
+    """CSV with a header; nested cells are JSON, NULL is blank and an empty text is ``""``.
+
+    Cells may hold line ends, so a file cannot be read by several tasks; its size is bounded.
+    """
+    writer = nested_as_json(df).write.mode("error").options(**CSV)
+    writer.option("maxRecordsPerFile", rows_per_file).csv(path)
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Read what ``write_csv`` wrote; nested cells stay JSON text."""
-    return spark.read.schema(schema).option("header", True).option("escape", '"').csv(path)
+    """Read what ``write_csv`` wrote; nested cells stay JSON text. Damage fails the read."""
+    reader = spark.read.schema(schema).options(**CSV).option("multiLine", True)
+    return reader.option("mode", "FAILFAST").option("nullValue", NULL_CELL).option("emptyValue", "").csv(path)
 
 
 def write_json(df: DataFrame, path: str) -> None:

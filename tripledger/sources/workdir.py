@@ -1,5 +1,6 @@
 """Where intermediate tables go."""
 
+import re
 import tempfile
 from functools import cache
 from uuid import uuid4
@@ -15,13 +16,13 @@ def _local_dir(application: str) -> str:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, as the session names it.
 
-    Only a local session without the setting falls back to a temporary folder: on a cluster
-    a driver-local path would be lost with the machine.
+    Only a session whose tasks run in the driver itself, as in tests, falls back to a temporary
+    folder: on a cluster a driver-local path would be lost with the machine.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return _local_dir(spark.sparkContext.applicationId)
 

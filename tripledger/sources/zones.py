@@ -1,5 +1,7 @@
 """The zone lookup."""
 
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +22,11 @@ def read_zone_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def check_zone_lookup(zones: DataFrame) -> None:
-    """Raise unless the lookup has rows and its ids are present and unique."""
-    row = zones.agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("LocationID").alias("ids")
-    ).first()
+    """Raise ValueError unless the lookup can be read, has rows, and its ids are present and unique."""
+    counts = zones.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("LocationID").alias("ids"))
+    try:
+        row = counts.first()
+    except (PySparkException, Py4JError) as error:
+        raise ValueError(f"zone lookup cannot be read: {str(error).splitlines()[0]}") from error
     if row.n == 0 or row.n != row.ids:
         raise ValueError(f"empty zone lookup or duplicate zone ids: {row.n} rows, {row.ids} ids")

@@ -10,7 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tripledger.contract import Bounds
 from tripledger.operators.facts import PARTITION, fct_trips, write_facts
-from tripledger.operators.metrics import daily_metrics
+from tripledger.functions.numeric import bin_columns
+from tripledger.operators.metrics import DAILY_SUMS, daily_from_parts, daily_metrics, daily_parts
 from tripledger.operators.refresh import facts_of_dates, touched_dates
 from tripledger.operators.staging import classify_rejects, stage, typed_trips
 from tripledger.sources.workdir import materialize
@@ -45,12 +46,15 @@ def _replace(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
-def latest(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """The newest version of each key among the ``batch=<n>`` folders of a table."""
+def latest(spark: SparkSession, path: str, *keys: str, batch: int | None = None) -> DataFrame:
+    """The newest version of each key among the ``batch=<n>`` folders of a table, of those up to
+    ``batch`` if one is given."""
     versions = spark.read.parquet(path)
-    columns = [name for name in versions.columns if name not in (key, "batch")]
+    if batch is not None:
+        versions = versions.where(F.col("batch") <= batch)
+    columns = [name for name in versions.columns if name not in (*keys, "batch")]
     newest = F.max_by(F.struct(*columns), F.col("batch")).alias("_newest")
-    return versions.groupBy(key).agg(newest).select(key, "_newest.*")
+    return versions.groupBy(*keys).agg(newest).select(*keys, "_newest.*")
 
 
 def stream_ingest(
@@ -78,7 +82,7 @@ def stream_ingest(
         affected = facts_of_dates(facts, dates)
         _replace(daily_metrics(affected), f"{target}/daily/batch={batch}")
 
-    return _run(trips, "append", checkpoint or f"{target}/checkpoint", one_batch)
+    return _run(trips, "append", checkpoint or f"{target}/checkpoints/ingest", one_batch)
 
 
 def stream_rejects(
@@ -96,17 +100,25 @@ def stream_rejects(
     def one_batch(rows: DataFrame, batch: int) -> None:
         _replace(rows, f"{target}/rejects/batch={batch}")
 
-    return _run(counts, "complete", f"{target}/checkpoint", one_batch)
+    return _run(counts, "complete", f"{target}/checkpoints/rejects", one_batch)
 
 
 def stream_daily(
     trips: DataFrame, dim: DataFrame, target: str, bounds: Bounds = Bounds()
 ) -> StreamingQuery:
-    """Daily metrics as streaming state, with no watermark: a late row always counts. The state
-    has one row per date; each batch stores the dates it changed."""
-    daily = daily_metrics(fct_trips(stage(trips, bounds), dim))
+    """Daily metrics in ``<target>/daily_state`` from streaming state, with no watermark: a late
+    row always counts. The state has the partial sums of each date, a few rows by the magnitude of
+    its values; each batch stores those it changed, and the metrics of their dates."""
+    parts = daily_parts(fct_trips(stage(trips, bounds), dim))
 
     def one_batch(rows: DataFrame, batch: int) -> None:
-        _replace(rows, f"{target}/daily/batch={batch}")
-
-    return _run(daily, "update", f"{target}/checkpoint", one_batch)
+        spark = rows.sparkSession
+        _replace(rows, f"{target}/daily_parts/batch={batch}")
+        changed = spark.read.schema(rows.schema).parquet(f"{target}/daily_parts/batch={batch}")
+        dates = changed.select(F.col("date").alias("_date")).distinct()
+        keys = ("date", *bin_columns(len(DAILY_SUMS)))
+        now = latest(spark, f"{target}/daily_parts", *keys, batch=batch)
+        now = now.join(dates, F.col("date").eqNullSafe(F.col("_date")), "left_semi")
+        _replace(daily_from_parts(now), f"{target}/daily_state/batch={batch}")
+
+    return _run(parts, "update", f"{target}/checkpoints/daily", one_batch)
