@@ -11,15 +11,22 @@ from tripledger.sources import files, months, sinks, workdir, zones
 from tripledger.sources.fixture import case_matrix, month_rows
 
 
-def test_month_selection():
-    assert len(months.month_paths("/raw", 2025, 6)) == 6
-    assert months.month_paths("/raw/", 2025, 1, 7) == ["/raw/yellow_tripdata_2025-07.parquet"]
-
-
-@pytest.mark.parametrize("count,start", [(0, 1), (13, 1), (6, 8), (1, 0), (1, 13)])
-def test_invalid_selection(count, start):
-    with pytest.raises(ValueError):
-        months.month_paths("/raw", 2025, count, start)
+def test_month_paths_name_every_selected_month():
+    for start in range(1, 13):
+        for count in range(1, 14 - start):
+            paths = months.month_paths("/in/", 1987, count, start, "m{month:02d}-{year}")
+            assert paths == [f"/in/m{m:02d}-1987" for m in range(start, start + count)]
+
+
+def test_selections_beyond_a_year_are_refused():
+    for start in range(-1, 15):
+        for count in range(-1, 15):
+            if not (1 <= start <= 12 and count >= 1 and start + count <= 13):
+                with pytest.raises(ValueError):
+                    months.month_paths("/in", 1987, count, start)
+    for year in (-1, 0, 10_000):
+        with pytest.raises(ValueError):
+            months.month_paths("/in", year, 1)
 
 
 def test_only_selected_files_are_read(spark, raw_dir):
