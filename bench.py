@@ -38,6 +38,10 @@ HEADLINE = [
     "positional_mismatches",
     "table_checksum",
     "build_counts",
+    "restated_monthly",
+    "logic_change_diff",
+    "prod_unchanged",
+    "stream_daily",
 ]
 
 

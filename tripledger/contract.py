@@ -51,6 +51,7 @@ RAW_ZONE_SCHEMA = T.StructType(
         T.StructField("service_zone", T.StringType()),
     ]
 )
+# What an input folder holds.
 REQUIRED_TRIP_COLUMNS = ("tpep_pickup_datetime", "tpep_dropoff_datetime", "PULocationID")
 MONTH_FILE = "yellow_tripdata_{year}-{month:02d}.parquet"
 ZONE_FILE = "taxi_zone_lookup.csv"

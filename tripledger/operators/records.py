@@ -53,6 +53,7 @@ SUMMARY_COLUMNS = (
     "database_size_mb",
     "strategy",
 )
+# Fields that agree in a whole run, and in a scenario.
 RUN_FIELDS = ("run_id", "dataset_kind", "dataset_year", "start_month")
 SCENARIO_FIELDS = ("dataset_months", "input_rows", "output_rows")
 
