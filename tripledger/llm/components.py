@@ -7,10 +7,10 @@ from tripledger.sources.workdir import materialize
 
 
 def _smallest(edges: DataFrame) -> DataFrame:
-    """(u, m): the smallest node among u and its partners in v. Partially aggregated."""
-    return edges.groupBy("u").agg(F.min("v").alias("m")).select(
-        F.col("u").alias("mu"), F.least("u", "m").alias("m")
-    )
+    """(u, m): the smallest node among u and its partners in v. Partially aggregated, and stored,
+    so that the join with it has both sides dealt for it alone and a hub's edges can be split."""
+    near = edges.groupBy("u").agg(F.min("v").alias("m"))
+    return materialize(near.select(F.col("u").alias("mu"), F.least("u", "m").alias("m")), "near")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
