@@ -1,6 +1,7 @@
 """The six tables over the sixteen-case fixture, against hand-computed values."""
 
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from tripledger.operators.facts import between_dates
 from tripledger.operators.quality import QualityError
 from tripledger.operators.refresh import facts_of_dates, since_last_date
 from tripledger.operators.staging import correct_fares
+from tripledger.plans import publish
 from tripledger.plans.build import build_from_files, build_summary, build_tables, report_for, restate, run_record
 from tripledger.plans.publish import audit_publish, environment_checksums, point_views
 from tripledger.sources.fixture import zone_rows
@@ -210,7 +212,49 @@ def test_failed_gate_keeps_published_views(spark, raw_dir, half_year):
     good = build_from_files(spark, raw_dir, 2025, 7)
     audit_publish(spark, "gate_test", good)
     assert spark.table("gate_test.fct_trips").count() == 49
-    assert "pickup_month" not in spark.table("gate_test.fct_trips").columns
+    # The published facts keep the column by which readers skip months, and its comment.
+    comments = {c.name: c.description for c in spark.catalog.listColumns("gate_test.fct_trips")}
+    assert "folders" in comments["pickup_month"]
+    july = spark.table("gate_test.fct_trips").where("pickup_month = DATE '2025-07-01'")
+    assert "pickup_month" in re.search(
+        r"PartitionFilters: \[([^\]]*)", july._jdf.queryExecution().executedPlan().toString()
+    ).group(1)
+
+
+def test_views_switch_together_or_not_at_all(spark, raw_dir, half_year, monkeypatch):
+    point_views(spark, "switch_test", half_year.paths)
+    before = as_set(environment_checksums(spark, "switch_test", list(TABLES)))
+    later = build_from_files(spark, raw_dir, 2025, 7)
+    staged, stage_view = [], publish._stage_view
+
+    def fails_halfway(session, database, name, *rest):
+        if len(staged) == 3:
+            raise RuntimeError("lost")
+        staged.append(name)
+        stage_view(session, database, name, *rest)
+
+    monkeypatch.setattr(publish, "_stage_view", fails_halfway)
+    with pytest.raises(RuntimeError):
+        point_views(spark, "switch_test", later.paths)
+    assert as_set(environment_checksums(spark, "switch_test", list(TABLES))) == before
+    monkeypatch.setattr(publish, "_stage_view", stage_view)
+    point_views(spark, "switch_test", later.paths)
+    counts = {name: spark.table(f"switch_test.{name}").count() for name in TABLES}
+    assert counts == later.rows
+    scans = spark.table("switch_test.fct_trips")._jdf.queryExecution().executedPlan().toString()
+    assert scans.count("FileScan") == 1
+
+
+@pytest.mark.parametrize("lines", ["a,b,c,d\n1,x,y,z", "", "1,x,y,z\n1,x,y,z", "x,x,y,z"])
+def test_bad_lookup_is_refused_before_writing(spark, raw_dir, tmp_path, monkeypatch, lines):
+    for month in range(1, 3):
+        name = f"yellow_tripdata_2025-{month:02d}.parquet"
+        (tmp_path / name).symlink_to(f"{raw_dir}/{name}")
+    head = "" if lines.startswith("a,") else "LocationID,Borough,Zone,service_zone\n"
+    (tmp_path / "taxi_zone_lookup.csv").write_text(head + lines)
+    monkeypatch.setattr("tripledger.plans.build.write_table", lambda *a: pytest.fail("written"))
+    with pytest.raises(ValueError):
+        build_from_files(spark, str(tmp_path), 2025, 2)
 
 
 def test_development_copy_leaves_production_alone(spark, raw_dir, half_year):
