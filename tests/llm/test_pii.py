@@ -82,6 +82,39 @@ def test_neighbours():
         assert pii.pseudonymise(new, KEY, -1)[0] == text
 
 
+def test_behind_numbers():
+    """Values that stand behind another number are found, whatever number it is."""
+    for text, values in {
+        "48213 2024-01-05": ["2024-01-05"],
+        "10023 123-45-6789": ["123-45-6789"],
+        "12 2024-01-05 2024-01-06": ["2024-01-05", "2024-01-06"],
+        "2024 4111 1111 1111 1111": ["4111 1111 1111 1111"],
+        "10115 4111 1111 1111 1111": ["4111 1111 1111 1111"],
+        "2024-4111 1111 1111 1111": ["4111 1111 1111 1111"],
+        "0 0 0 0 0 0 0 0 0 0 0 0 0 0 0 5500-0000-0000-0004 16 17": ["5500-0000-0000-0004"],
+        "4111111111111111 2024-01-05 123-45-6789 378282246310005": ["4111111111111111", "2024-01-05", "123-45-6789", "378282246310005"],
+        "7821 3000 1234 12/31/1999": ["12/31/1999"],
+        "7821 3000 12345 10.0.0.1": ["10.0.0.1"],
+        "AB12 4111 1111 1111 1111": ["4111 1111 1111 1111"],
+        "AB12 4111111111111111": ["4111111111111111"],
+        "AB12 DE89 3704 0044 0532 0130 00": ["DE89 3704 0044 0532 0130 00"],
+        "AB12 3456 7890 1234 2024-01-05": ["2024-01-05"],
+    }.items():
+        new, found = pii.pseudonymise(text, KEY)
+        assert [text[f["start"] : f["end"]] for f in found] == values, text
+        assert not any(value in new for value in values)
+        assert pii.pseudonymise(new, KEY, -1)[0] == text
+
+
+def test_numbers_before_dates():
+    """A number and a date are never read as a card, however their digits turn out."""
+    for i in range(2000):
+        text = f"{40000 + i} 2024-01-{i % 28 + 1:02d}"
+        new, found = pii.pseudonymise(text, KEY)
+        assert [f["kind"] for f in found] == ["date"] and new[:6] == text[:6]
+        assert pii.pseudonymise(new, KEY, -1)[0] == text
+
+
 def test_different_values_stay_different():
     rng = random.Random(2)
     cards = {pii._with_check_digit("4" + "".join(rng.choice("0123456789") for _ in range(14))) for _ in range(300)}

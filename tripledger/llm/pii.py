@@ -28,17 +28,23 @@ ERAS = ((1, 1900), (1900, 2100), (2100, 10000))  # years; a date stays within it
 CARD = re.compile(r"(?:4\d{12}(?:\d{3}){0,2}|5[1-5]\d{14}|2(?:22[1-9]|2[3-9]\d|[3-6]\d\d|7[01]\d|720)\d{12}"
                   r"|3[47]\d{13}|3(?:0[0-5]|[68]\d)\d{11}|6(?:011|5\d\d|4[4-9]\d)\d{12}|62\d{14,17}|35\d{14})")
 
-NUMBER = re.compile(
+# Kinds with a layout of their own come before the looser ones, which must not reach into them.
+FIRM = re.compile(
     r"(?<![0-9A-Za-z.@+-])(?:"
-    r"(?P<iban>[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
-    r"|(?P<date>[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9A-Za-z]|[./-][0-9])"
+    r"(?P<date>[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}|[0-9]{2}/[0-9]{2}/[0-9]{4})(?![0-9A-Za-z]|[./-][0-9])"
     r"|(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9A-Za-z]|-[0-9])"
     r"|(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?![0-9A-Za-z]|\.[0-9])"
-    r"|(?P<card>[0-9](?:[ -]?[0-9]){12,18})(?![0-9A-Za-z]|[-.][0-9])"
     r")"
-    r"|(?<![0-9A-Za-z])(?P<phone>\+[0-9]{1,3}[ .-]?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}"
+)
+PHONE = re.compile(
+    r"(?<![0-9A-Za-z])(?P<phone>\+[0-9]{1,3}[ .-]?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}"
     r"|\+[0-9]{8,15}|\+[0-9]{1,3}(?P<gap>[ .-])[0-9]{2,4}(?:(?P=gap)[0-9]{2,4}){1,3})(?![0-9A-Za-z])"
 )
+IBAN = re.compile(
+    r"(?<![0-9A-Za-z.@+-])(?P<iban>[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
+)
+RUN = re.compile(r"(?<![0-9A-Za-z.@+-])[0-9](?:[ -]?[0-9]){12,}+")  # groups of digits that may hold cards
+NOT_AFTER = re.compile(r"[0-9A-Za-z]|\.[0-9]")  # what does not follow a card
 MAIL = re.compile(r"(?<![A-Za-z0-9._%+-])(?P<local>[A-Za-z0-9._%+-]++)@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![A-Za-z0-9-])")
 FOUND = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string())])
 RESULT = pa.struct([("text", pa.string()), ("found", pa.list_(FOUND))])
@@ -131,9 +137,13 @@ def _turn(key: bytes, kind: str, chars: str, valid, step: int) -> str:
             return new
 
 
+def _is_card(digits: str) -> bool:
+    return CARD.fullmatch(digits) is not None and luhn(digits)
+
+
 def _card(key, raw, step):
     digits = re.sub(r"[ -]", "", raw)
-    if not (CARD.fullmatch(digits) and luhn(digits)):
+    if not _is_card(digits):
         return None
     valid = lambda body: CARD.fullmatch(_with_check_digit(digits[0] + body)) is not None
     body = _turn(key, f"card{digits[0]}", digits[1:-1], valid, step)
@@ -202,15 +212,64 @@ def _pseudonym(key: bytes, kind: str, raw: str, step: int) -> str | None:
     return (_mail if kind == "mail" else HANDLERS[kind])(key, raw, step)
 
 
-def _windows(kind: str, raw: str):
-    """(first, end) of the parts of a match to try, longest first. A number that stands beside
-    another one, with only a space between, is matched together with it."""
-    if kind not in ("card", "iban"):
-        return [(0, len(raw))]
-    edges = [m.start() for m in re.finditer(r"[ -]", raw)]
-    starts = [0, *(e + 1 for e in edges)] if kind == "card" else [0]
-    pairs = [(a, b) for a in starts for b in [*edges, len(raw)] if b > a]
-    return sorted(pairs, key=lambda w: (w[0] - w[1], w[0]))
+def _matches(pattern: re.Pattern, kinds: tuple[str, ...]):
+    def find(text, turned):
+        for m in pattern.finditer(text):
+            kind = next(k for k in kinds if m[k])
+            if new := turned(kind, m[kind]):
+                yield *m.span(kind), kind, new
+
+    return find
+
+
+def _ibans(text, turned):
+    """A match is tried up to each of its ends, longest first; a match without an IBAN is searched
+    again from its next group."""
+    at = 0
+    while m := IBAN.search(text, at):
+        start, raw = m.start("iban"), m["iban"]
+        edges = [e.start() for e in re.finditer(" ", raw)]
+        at = start + (edges[0] + 1 if edges else len(raw))
+        for end in [len(raw), *reversed(edges)]:
+            if new := turned("iban", raw[:end]):
+                yield start, start + end, "iban", new
+                at = start + end  # what follows in the same match is searched again
+                break
+
+
+def _cards(text, turned):
+    """The neighbouring groups in a run of any length that make up a card: the longest first, then
+    the first, none overlapping another."""
+    for run in RUN.finditer(text):
+        groups = [(run.start() + g.start(), run.start() + g.end()) for g in re.finditer("[0-9]+", run[0])]
+        valid = []
+        for i, (start, _) in enumerate(groups):
+            digits = ""
+            for a, end in groups[i : i + 19]:
+                if len(digits) + end - a > 19:
+                    break
+                digits += text[a:end]
+                if len(digits) >= 13 and not NOT_AFTER.match(text, end) and _is_card(digits):
+                    valid.append((start, end))
+        taken = set()
+        for start, end in sorted(valid, key=lambda w: (w[0] - w[1], w[0])):
+            if taken.isdisjoint(range(start, end)):
+                taken.update(range(start, end))
+                yield start, end, "card", turned("card", text[start:end])
+
+
+FINDERS = (_matches(FIRM, ("date", "ssn", "ip")), _matches(PHONE, ("phone",)), _ibans, _cards)
+
+
+def _masked(text: str, hits: list) -> str:
+    """The text with letters, which no number is found in, in place of what was found."""
+    if not hits:
+        return text
+    parts, at = [], 0
+    for start, _, end, *_ in sorted(hits):
+        parts += [text[at:start], "x" * (end - start)]
+        at = end
+    return "".join([*parts, text[at:]])
 
 
 def pseudonymise(text: str, key: bytes, step: int = 1) -> tuple[str, list[dict]]:
@@ -222,17 +281,9 @@ def pseudonymise(text: str, key: bytes, step: int = 1) -> tuple[str, list[dict]]
         for m in MAIL.finditer(text):
             if new := _pseudonym(key, "mail", m["local"], step):
                 hits.append((m.start("local"), m.end("local"), m.end(), "mail", new))
-    mails, at = list(hits), 0
-    while m := NUMBER.search(text, at):
-        kind = next(k for k in HANDLERS if m[k])
-        start, at = m.start(kind), m.end(kind)
-        if any(a < at and start < c for a, _, c, *_ in mails):
-            continue
-        for a, b in _windows(kind, m[kind]):
-            if new := _pseudonym(key, kind, m[kind][a:b], step):
-                hits.append((start + a, start + b, start + b, kind, new))
-                at = start + b  # what follows in the same match is searched again
-                break
+    for find in FINDERS:
+        left = _masked(text, hits)
+        hits += [(a, b, b, kind, new) for a, b, kind, new in find(left, lambda kind, raw: _pseudonym(key, kind, raw, step))]
     hits.sort()
     parts, at = [], 0
     for start, end, _, _, new in hits:
