@@ -3,6 +3,7 @@
 import itertools
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from tests.conftest import as_set
@@ -49,6 +50,22 @@ def test_fit_learns_context():
     assert ((model.tag(ids, lengths) > 0.5) == labels).mean() > 0.999
 
 
+@pytest.mark.parametrize("copies", [1, 500])
+def test_copies(copies):
+    """However often one toxic text is copied, the offence in it and in others is learned."""
+    text = lambda name, n=20: " ".join(f"{name}{j}" for j in range(n))
+    copied = text("c") + " foo " + text("d")
+    toxic = [copied] * copies + [f"{text(f'a{i}x')} foo {text(f'b{i}x')}" for i in range(40)]
+    toxic += [f"{text(f'e{i}x')} bar {text(f'f{i}x')}" for i in range(400)]
+    clean = [text(f"w{i}x") for i in range(900)] + [copied.replace("foo", "so")] * copies
+    rows = [(1, t) for t in toxic] + [(0, t) for t in clean]
+    frame = pd.DataFrame([(y, i, 0, t) for i, (y, t) in enumerate(rows)], columns=["toxic", "key", "part", "passage"])
+    words = [t.split() for _, t in rows]
+    assert toxicity.offences(words, frame["toxic"].to_numpy()) == {"foo", "bar"}
+    scores, spans = toxicity.train(frame, 0.5).batch([copied, "quite new foo here", "quite new bar here", copied.replace("foo", "so")])
+    assert [len(s) for s in spans] == [1, 1, 1, 0] and min(scores[:3]) > 0.5 > scores[3]
+
+
 def test_held_out(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     got = toxicity.score_documents(docs, labels)

@@ -2,8 +2,8 @@
 
 The field is learned from tokens. Where only whole documents are labelled, token labels are
 derived: a word is an offence if it is far more common in toxic passages than in clean ones and
-turns up in many different contexts there (a word that only occurs in copies of one text does
-not). Forward-backward marginals then give every token of a text its probability; tokens over
+turns up in many different contexts there; copies of a passage count once, so they neither make
+nor unmake an offence. Forward-backward marginals then give every token of a text its probability; tokens over
 one half form the spans, and the likeliest offence, the expected number of offences and the
 length of a text, weighed by a fit on the labelled documents, make its score.
 
@@ -171,10 +171,12 @@ def offences(words: list[list[str]], toxic: np.ndarray, ratio: float = 20.0, con
              kinds: int = 4) -> set[str]:
     """Words, and stems with a star, that mark toxic passages: `ratio` times as common there as
     in clean passages, in `contexts` different contexts at least, and in nearly as many contexts
-    as places. A stem also needs `kinds` different words; else the words stand for themselves."""
-    count = {0: Counter(), 1: Counter()}
+    as places. Equal passages of a class count once. A stem also needs `kinds` different words; else
+    the words stand for themselves."""
+    distinct = dict.fromkeys((label, tuple(row)) for row, label in zip(words, toxic.tolist()))
+    count, n = {0: Counter(), 1: Counter()}, Counter(label for label, _ in distinct)
     seen, places, words_of = defaultdict(set), Counter(), defaultdict(set)
-    for row, label in zip(words, toxic.tolist()):
+    for label, row in distinct:
         forms = [[w, *(w[:n] + "*" for n in STEMS if len(w) > n)] for w in row]
         count[label].update({f for some in forms for f in some})
         if label:
@@ -185,10 +187,9 @@ def offences(words: list[list[str]], toxic: np.ndarray, ratio: float = 20.0, con
                     words_of[f].add(some[0])
                     if len(seen[f]) < 200:
                         seen[f].add(around)
-    n = {label: max(1, int((toxic == label).sum())) for label in (0, 1)}
     found = set()
     for w, hits in count[1].items():
-        odds = ((hits + 0.5) / n[1]) / ((count[0][w] + 0.5) / n[0])
+        odds = ((hits + 0.5) / max(1, n[1])) / ((count[0][w] + 0.5) / max(1, n[0]))
         if w and odds >= ratio and len(seen[w]) >= max(contexts, 0.6 * min(places[w], 200)):
             if not w.endswith("*") or len(words_of[w]) >= kinds:
                 found.add(w)
