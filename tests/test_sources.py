@@ -1,3 +1,6 @@
+import hashlib
+import random
+
 import pytest
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -126,6 +129,32 @@ def test_manifests_and_changes(spark, tmp_path):
     assert sorted(row.row_count for row in contents.collect()) == [3, 10]
 
 
+def test_manifest_by_ranges(spark, tmp_path, monkeypatch):
+    """Files of any size, whose ranges go to several tasks; both ways give the same digests."""
+    sizes = {"one": 1, "even": 3000, "odd one": 3001, "small": 1000, "large": 900_000}
+    want = set()
+    for name, size in sizes.items():
+        data = random.Random(size).randbytes(size)
+        (tmp_path / name).write_bytes(data)
+        parts = [hashlib.sha256(data[i : i + 1000]).hexdigest() for i in range(0, size, 1000)]
+        digest = hashlib.sha256(data).hexdigest() if size <= 1000 else hashlib.sha256("".join(parts).encode()).hexdigest()
+        want.add((name, size, digest))
+    for stores in (files.ARROW_STORES, ()):
+        monkeypatch.setattr(files, "ARROW_STORES", stores)
+        got = files.file_manifest(spark, [str(tmp_path)], piece=1000).collect()
+        assert {(r.path.rsplit("/", 1)[1], r.bytes, r.sha256) for r in got} == want and len(got) == len(want)
+
+
+def test_manifest_beyond_two_gib(spark, tmp_path):
+    """A file that no value of Spark can hold; sparse, so it takes no room."""
+    size = 2**31 + 5
+    with open(tmp_path / "big", "wb") as f:
+        f.truncate(size)
+    full, last = (hashlib.sha256(bytes(n)).hexdigest() for n in (files.RANGE, size % files.RANGE))
+    want = hashlib.sha256((full * (size // files.RANGE) + last).encode()).hexdigest()
+    assert as_set(files.file_manifest(spark, [str(tmp_path)]).select("bytes", "sha256")) == [(size, want)]
+
+
 def test_storage_stats(spark, raw_dir):
     stats = files.storage_stats(spark, {"raw": raw_dir}).first()
     assert stats.files >= 7 and stats.size_mib > 0

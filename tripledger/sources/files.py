@@ -1,20 +1,79 @@
 """Facts about files: manifests, changes and storage size."""
 
-from collections.abc import Sequence
+import hashlib
+import re
+from collections.abc import Callable, Sequence
 
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripledger.operators.compare import checksum_columns, row_fingerprint
 
+RANGE = 64 * 2**20
+ONE_VALUE = 2_000_000_000  # Spark holds no longer value than 2 GiB
+ARROW_STORES = ("file", "s3", "s3a", "gs")  # pyarrow opens them without further libraries
 
-def file_manifest(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Path, size and SHA-256 of each file's bytes. Spark reads a file as one value here, so
-    files are limited to 2 GiB; ``table_manifest`` has no such limit."""
+
+def file_manifest(spark: SparkSession, paths: Sequence[str], piece: int = RANGE) -> DataFrame:
+    """Path, size and SHA-256 of each file's bytes. Of a file of more than ``piece`` bytes, it is
+    the SHA-256 of the hexadecimal SHA-256 of its ranges of ``piece`` bytes, joined in order.
+
+    Longer files are dealt out by ranges and read in blocks by pyarrow. In stores that may be open
+    to Spark only, this holds for files over 2 GB; the others are one value of a task there.
+    """
     files = spark.read.format("binaryFile").load(list(paths))
-    return files.select(
-        "path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")
+    known = all(re.match(r"\w+", name)[0] in ARROW_STORES for name in files.inputFiles())
+    limit = piece if known else max(piece, ONE_VALUE)
+    size = F.col("length")
+    whole = files.where(size <= limit).select(
+        "path", size.alias("bytes"), _value_digest(F.col("content"), size, piece).alias("sha256")
     )
+    ranges = files.where(size > limit).select(
+        "path", size.alias("bytes"), F.explode(F.sequence(F.lit(0), size - 1, F.lit(piece))).alias("start")
+    )
+    # few and tiny rows of much work each: a number of partitions keeps them from being merged
+    dealt = ranges.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "start")
+    hashed = dealt.mapInArrow(_range_digests(piece), "path string, bytes long, start long, digest string")
+    digests = F.array_sort(F.collect_list(F.struct("start", "digest")))["digest"]
+    joined = hashed.groupBy("path", "bytes").agg(F.sha2(F.array_join(digests, ""), 256).alias("sha256"))
+    return whole.unionAll(joined)
+
+
+def _value_digest(content: Column, size: Column, piece: int) -> Column:
+    starts = F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), F.lit(piece))
+    digests = F.transform(starts, lambda i: F.sha2(F.substring(content, (i + 1).cast("int"), F.lit(piece)), 256))
+    return F.when(size <= piece, F.sha2(content, 256)).otherwise(F.sha2(F.array_join(digests, ""), 256))
+
+
+def _range_digests(piece: int) -> Callable:
+    def opened(path: str):
+        scheme, store, inside = re.fullmatch(r"(\w+):(?://([^/]*))?(/.*)", path).groups()
+        if scheme == "file":
+            return pafs.LocalFileSystem().open_input_file(inside)
+        system, root = pafs.FileSystem.from_uri(f"{'s3' if scheme == 's3a' else scheme}://{store or ''}/")
+        return system.open_input_file(root.rstrip("/") + inside)
+
+    def digest(path: str, start: int, end: int) -> str:
+        found = hashlib.sha256()
+        with opened(path) as file:
+            file.seek(start)
+            while start < end:
+                block = file.read(min(end - start, 4 * 2**20))
+                if not block:
+                    raise OSError(f"{path} ends at {start}, before {end}")
+                found.update(block)
+                start += len(block)
+        return found.hexdigest()
+
+    def hashed(batches):
+        for batch in batches:
+            rows = batch.to_pylist()
+            digests = [digest(r["path"], r["start"], min(r["start"] + piece, r["bytes"])) for r in rows]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.string())], names=[*batch.schema.names, "digest"])
+
+    return hashed
 
 
 def table_manifest(df: DataFrame, part: Column | None = None) -> DataFrame:
