@@ -106,6 +106,19 @@ def test_behind_numbers():
         assert pii.pseudonymise(new, KEY, -1)[0] == text
 
 
+def test_phone_notations():
+    for value in ["+44 7911 123456", "+49 30 1234567", "+33 1 23 45 67 89", "+1 650-253-0000", "+49 30 123456-78", "+49 (30) 1234567",
+                  "+44 (0)20 7183 8750", "+33.1.23.45.67.89", "+4420 7183 8750", "+33 12 34 56 78 90", "+1 (017) 555-7713", "+49-30-1234-5678"]:
+        for text in (value, f"call {value}, or", f"{value} 2024-01-05", f"{value} 4111111111111111", f"{value} 3rd"):
+            new, found = pii.pseudonymise(text, KEY)
+            phone = next(f for f in found if f["kind"] == "phone")
+            assert text[phone["start"] : phone["end"]] == value, text
+            assert len(found) == 1 + ("2024" in text) + ("4111" in text)
+            assert pii.pseudonymise(new, KEY, -1)[0] == text
+    for text in ("+3.14159265", "+12 345", "+1 2 3 4", "a+44 7911 123456x", "+44 7911 123456x"):
+        assert pii.pseudonymise(text, KEY) == (text, [])
+
+
 def test_numbers_before_dates():
     """A number and a date are never read as a card, however their digits turn out."""
     for i in range(2000):

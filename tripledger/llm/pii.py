@@ -8,8 +8,9 @@ its own pseudonym: the permutation is one cycle, x -> F(F^-1(x) + 1), F being th
 network on the numbers of the format. Whoever has the key can restore the values.
 
 What is found: card numbers (issuer prefix and Luhn), IBANs (mod 97), US social security
-numbers, international phone numbers, IPv4 addresses, calendar dates in three notations, and
-mail addresses (the part before the @).
+numbers, international phone numbers (a plus sign and 8 to 15 digits, in any groups with single
+separators), IPv4 addresses, calendar dates in three notations, and mail addresses (the part
+before the @).
 """
 
 import datetime as dt
@@ -37,9 +38,10 @@ FIRM = re.compile(
     r")"
 )
 PHONE = re.compile(
-    r"(?<![0-9A-Za-z])(?P<phone>\+[0-9]{1,3}[ .-]?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}"
-    r"|\+[0-9]{8,15}|\+[0-9]{1,3}(?P<gap>[ .-])[0-9]{2,4}(?:(?P=gap)[0-9]{2,4}){1,3})(?![0-9A-Za-z])"
+    r"\+[0-9]{1,3}[ .-]?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9A-Za-z])|\+[0-9]{8,15}(?![0-9A-Za-z])"
 )
+# a plus sign and groups of digits, of which a phone number may be the first ones
+PLUS = re.compile(r"(?<![0-9A-Za-z])\+[0-9]++(?:(?:[ .-]?\([0-9]{1,5}\)[ .-]?|[ .-])[0-9]++)*+")
 IBAN = re.compile(
     r"(?<![0-9A-Za-z.@+-])(?P<iban>[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))"
 )
@@ -212,14 +214,30 @@ def _pseudonym(key: bytes, kind: str, raw: str, step: int) -> str | None:
     return (_mail if kind == "mail" else HANDLERS[kind])(key, raw, step)
 
 
-def _matches(pattern: re.Pattern, kinds: tuple[str, ...]):
-    def find(text, turned):
-        for m in pattern.finditer(text):
-            kind = next(k for k in kinds if m[k])
-            if new := turned(kind, m[kind]):
-                yield *m.span(kind), kind, new
+def _firm(text, turned):
+    for m in FIRM.finditer(text):
+        if new := turned(m.lastgroup, m[0]):
+            yield *m.span(), m.lastgroup, new
 
-    return find
+
+def _phones(text, turned):
+    """The groups behind a plus sign that make up 8 to 15 digits: most of them, but rather not
+    ending before a dot or hyphen, and rather with one separator. One dot alone is a decimal."""
+    for run in PLUS.finditer(text):
+        strict, windows, digits = PHONE.match(text, run.start()), [], 0
+        for g in re.finditer("[0-9]+", run[0]):
+            digits += g.end() - g.start()
+            end = run.start() + g.end()
+            between = re.sub("[0-9+]", "", text[run.start() : end])
+            if digits > 15:
+                break
+            if digits >= 8 and between not in ("", ".") and not re.match(r"[0-9A-Za-z)]", text[end : end + 1]):
+                cut = re.match("[.-][0-9]", text[end : end + 2]) is not None
+                windows.append((cut, len(set(between)) > 1, -end))
+        for end in [*([strict.end()] if strict else []), *(-w[2] for w in sorted(windows))]:
+            if new := turned("phone", text[run.start() : end]):
+                yield run.start(), end, "phone", new
+                break
 
 
 def _ibans(text, turned):
@@ -258,7 +276,7 @@ def _cards(text, turned):
                 yield start, end, "card", turned("card", text[start:end])
 
 
-FINDERS = (_matches(FIRM, ("date", "ssn", "ip")), _matches(PHONE, ("phone",)), _ibans, _cards)
+FINDERS = (_firm, _phones, _ibans, _cards)
 
 
 def _masked(text: str, hits: list) -> str:
