@@ -18,6 +18,9 @@ COLUMNS = {
     "op7_packing": ["doc_id", "piece", "start", "length", "bin_id", "capacity", "offset"],
     "op8_bm25": ["query_id", "rank", "doc_id", "score"],
     "op9_simhash": ["doc_id", "fingerprint", "component_id"],
+    "op11_resampling": ["doc_id", "n_features", "weight", "score", "rank"],
+    "op12_fingerprints": ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+    "op13_manifest": ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"],
     "op10_warc": ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
 }
 

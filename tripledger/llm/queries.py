@@ -3,8 +3,23 @@
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from tripledger.llm import bm25, language, mixing, packing, pii, quality, secrets, simhash, toxicity, warc
+from pyspark.sql import functions as F
+
+from tripledger.llm import (
+    bm25,
+    fingerprints,
+    language,
+    manifest,
+    mixing,
+    packing,
+    pii,
+    quality,
+    resample,
+    secrets,
+    simhash,
+    toxicity,
+    warc,
+)
 from tripledger.sources.workdir import fresh_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,3 +140,22 @@ WITH words AS (
 )
 SELECT query_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= 10
 """
+
+
+@query
+def op11_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Importance of every document for the texts of the benchmark, and the draw."""
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op12_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every document and of its edited text, and how alike they are."""
+    return fingerprints.edit_and_compare(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and proof of every document, a seventh of them tampered with."""
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    return manifest.manifest(table(spark, sf_dir, "documents"), tampered=tampered)
