@@ -5,7 +5,7 @@ the target than of the documents falls into it; a document's weight is the sum o
 n-grams. A Gumbel variable, drawn from a hash of the id, makes the documents of highest weight
 plus noise a sample without replacement in proportion to their importance.
 
-N-grams are interned per batch of a quarter megabyte: an open-addressed NumPy table, keyed by XXH64 and
+N-grams are interned per batch of 128 KiB: an open-addressed NumPy table, keyed by XXH64 and
 verified byte by byte, holds each different n-gram once with its bucket and its count, so that
 CRC-32 is computed once per different n-gram and every occurrence is a slot number. The slots'
 counts make the corpus counts; the slots' gains, gathered by occurrence, make the weights. A text of
@@ -27,7 +27,7 @@ from tripledger.llm.text import byte_texts
 from tripledger.sources.workdir import materialize
 
 GRAMS = 3
-PIECE = 1 << 18  # bytes interned together
+PIECE = 1 << 17  # bytes interned together
 
 # XXH64's primes: fixed values of its definition
 P1, P2, P3, P4, P5 = (
@@ -122,9 +122,14 @@ class Strings:
                 ^ CRC[3][high & 255] ^ CRC[2][(high >> 8) & 255] ^ CRC[1][(high >> 16) & 255] ^ CRC[0][high >> 24]
             )
         tail, rest = self.lanes[start + 8 * full], size & 7
-        for j in range(7):
-            byte = (tail >> np.uint64(8 * j)).astype(np.uint32)
-            c = np.where(rest > j, CRC[0][(c ^ byte) & 255] ^ (c >> 8), c)
+        half = np.flatnonzero(rest >= 4)
+        word = tail[half].astype(np.uint32) ^ c[half]
+        c[half] = CRC[3][word & 255] ^ CRC[2][(word >> 8) & 255] ^ CRC[1][(word >> 16) & 255] ^ CRC[0][word >> 24]
+        tail[half] >>= np.uint64(32)
+        tail, rest = tail.astype(np.uint32), rest & 3
+        for j in range(3):
+            live = np.flatnonzero(rest > j)
+            c[live] = CRC[0][(c[live] ^ (tail[live] >> (8 * j))) & 255] ^ (c[live] >> 8)
         out[~long] = ~c
         return out
 
@@ -203,7 +208,7 @@ def batches(texts: Iterable[bytes], limit: int = PIECE) -> Iterator[tuple[np.nda
 
 
 def _grams(held: list[tuple[int, int, list[bytes]]]) -> tuple[np.ndarray, Strings]:
-    data = b" ".join(w for _, _, words in held for w in words)
+    data = b" ".join([b" ".join(words) for _, _, words in held if words])
     counts = np.array([len(words) for _, _, words in held], dtype=np.int64)
     n = int(counts.sum())
     blanks = np.flatnonzero(np.frombuffer(data, np.uint8) == 32) if n else np.empty(0, np.int64)
@@ -230,7 +235,7 @@ def bucket_counts(docs: DataFrame, text_col: str = "text", buckets: int = 10000)
         for batch in rows:
             for _, strings in batches(byte_texts(batch.column(0))):
                 table = Interned(strings, buckets)
-                np.add.at(total, table.bucket, table.count)
+                total += np.bincount(table.bucket, table.count, buckets).astype(np.int64)  # exact below 2**53
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"bucket": pa.array(used, pa.int32()), "n": pa.array(total[used], pa.int64())})
 
@@ -262,7 +267,7 @@ def weighed(text: Column, gain: np.ndarray) -> Column:
             table = Interned(strings, buckets)
             value = gain[table.bucket]  # of every slot
             features += np.bincount(number, minlength=n)
-            np.add.at(weight, number, value[table.slot])
+            weight += np.bincount(number, value[table.slot], n).astype(np.int64)
         # runs of 1, 2 and 3 words of n words: 3n - 3 from two words on
         words = np.where(features > 1, (features + GRAMS) // GRAMS, features)
         return pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in (words, features, weight)], ["words", "features", "weight"])
