@@ -236,16 +236,19 @@ def _reduce(table: pa.Table) -> pa.Table:
     return pa.Table.from_batches([batch])
 
 
-def tree(nodes: DataFrame, sizes: DataFrame, largest: int) -> tuple[DataFrame, DataFrame]:
+def tree(nodes: DataFrame, sizes: DataFrame | None, largest: int) -> tuple[DataFrame, DataFrame]:
     """((grp, rank, path), (grp, root)) of nodes (grp, rank, digest), whose groups' sizes are
-    (grp, size), `largest` the greatest of them.
+    (grp, size), `largest` the greatest of them. Without sizes there is one group.
 
     path: the digests beside a node's path to its root, 32 bytes each, from the lowest level up.
     """
     steps, level, left = [], nodes, largest
     while True:
-        size = sizes.select(F.col("grp").alias("g"), F.expr(f"cast(ceil(size / {FAN ** len(steps)}D) as long)").alias("size"))
-        rows = level.join(size, F.col("grp").eqNullSafe(F.col("g")))
+        if sizes is None:
+            rows = level.withColumn("size", F.lit(left).cast("long"))
+        else:
+            size = sizes.select(F.col("grp").alias("g"), F.expr(f"cast(ceil(size / {FAN ** len(steps)}D) as long)").alias("size"))
+            rows = level.join(size, F.col("grp").eqNullSafe(F.col("g")))
         rows = rows.select("grp", F.shiftright("rank", LEVELS).alias("block"), "rank", "digest", "size")
         found = materialize(rows.groupBy("grp", "block").applyInArrow(_reduce, NODE), f"level{len(steps)}")
         steps.append(found.where("rank is not null").select("grp", "rank", "block", "path"))
@@ -329,10 +332,7 @@ def manifest(docs: DataFrame, id_col: str = "doc_id", group_col: str = "lang", f
     # the same again over the groups, as the leaves of one group
     one = F.lit(b"").alias("grp")
     tops = ranked(subroots, [], [F.col("grp").asc_nulls_first()], "grank", "subroots")
-    above, root = tree(
-        tops.select(one, F.col("grank").alias("rank"), F.col("root").alias("digest")),
-        docs.sparkSession.range(1).select(one, F.lit(groups).cast("long").alias("size")), groups or 1,
-    )
+    above, root = tree(tops.select(one, F.col("grank").alias("rank"), F.col("root").alias("digest")), None, groups or 1)
     above = above.select(F.col("rank").alias("r"), F.col("path").alias("gpath"))
     tops = tops.join(sizes.withColumnRenamed("grp", "s"), F.col("grp").eqNullSafe(F.col("s"))).join(above, F.col("grank") == F.col("r"))
     tops = materialize(tops.select(F.col("grp").alias("t"), F.col("root").alias("subroot"), "grank", "size", "gpath"), "tops")
