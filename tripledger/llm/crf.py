@@ -145,8 +145,9 @@ def fit(vocabulary: dict[str, int], ids: np.ndarray, labels: np.ndarray, lengths
         a, y = np.concatenate([[0.0], forward[:-1]]), np.exp(np.clip(e, -40, 40)) * backward
         a[first] = 0
         w = np.exp(steps)
-        parts = np.stack([np.full(len(ids), w[0, 0]), w[0, 1] * y, a * w[1, 0], a * w[1, 1] * y])
-        expected = (parts / parts.sum(0)).sum(1)
+        all_ways = w[0, 0] + w[0, 1] * y + a * w[1, 0] + a * w[1, 1] * y
+        expected = np.array([w[0, 0] * (1 / all_ways).sum(), w[0, 1] * (y / all_ways).sum(),
+                             w[1, 0] * (a / all_ways).sum(), w[1, 1] * (a * y / all_ways).sum()])
         gradient = np.concatenate([
             np.bincount(ids, gap, size), np.bincount(left, gap, size), np.bincount(right, gap, size),
             [gap.sum()], seen_steps - expected,

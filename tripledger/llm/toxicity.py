@@ -4,14 +4,17 @@ The field is learned from tokens. Where only whole documents are labelled, token
 derived: a word is an offence if it is far more common in toxic passages than in clean ones and
 turns up in many different contexts there; copies of a passage count once, so they neither make
 nor unmake an offence. Forward-backward marginals then give every token of a text its probability; tokens over
-one half form the spans, and the likeliest offence, the expected number of offences and the
-length of a text, weighed by a fit on the labelled documents, make its score.
+one half form the spans, and the likeliest token and the expected number of further offences in
+spans, weighed by a fit on the labelled documents, make its score. The fit has no constant and no
+negative weight, so a text scores over one half if and only if it has a span, however long it is,
+and clean words around an offence hide nothing.
 
-Bounds of the fit, which runs on the driver: `sample` labelled documents of each class, chosen
+Bounds of the fit, which runs in one task and returns the model alone: `sample` labelled documents of each class, chosen
 by hash, cut into passages of 256 words of which `passages` are taken per class, and
 `vocabulary` words. Scores cover all documents and whole texts.
 """
 
+import pickle
 import re
 from collections import Counter, defaultdict
 from dataclasses import dataclass
@@ -88,34 +91,63 @@ def encode(texts: list[str], known: Ids) -> tuple[np.ndarray, np.ndarray]:
 
 
 def evidence(p: np.ndarray, lengths: np.ndarray, texts: np.ndarray | None = None) -> np.ndarray:
-    """What the marginals say about each text: the log-odds of its likeliest offence, the
-    logarithm of its expected number of offences, that of its length, and one.
+    """What the marginals say about each text: the log-odds of its likeliest token, which are
+    negative without a span, and the logarithm of one more than its expected number of further
+    offences in spans.
 
     texts: the text number of each sequence, where several sequences make up a text.
     """
     which = np.repeat(np.arange(len(lengths)) if texts is None else texts, lengths)
     n = len(lengths) if texts is None else int(texts.max(initial=-1)) + 1
-    top, total = np.zeros(n), np.bincount(which, p, n)
+    top = np.zeros(n)
     np.maximum.at(top, which, p)
+    total = np.bincount(which, np.where(p >= 0.5, p, 0), n)
+    further = np.maximum(0, total - np.where(top >= 0.5, top, 0))
     top = np.clip(top, 1e-4, 1 - 1e-4)
-    size = np.bincount(which, minlength=n)
-    return np.column_stack([np.log(top / (1 - top)), np.log(0.05 + total), np.log(10.0 + size), np.ones(n)])
+    return np.column_stack([np.log(top / (1 - top)), np.log1p(further)])
+
+
+RIDGE = 0.1
+
+
+def objective(weights: np.ndarray, found: np.ndarray, label: np.ndarray, weight: np.ndarray) -> float:
+    """Penalised negative log-likelihood of a logistic fit."""
+    z = found @ weights
+    return float(weight @ (np.logaddexp(0, z) - label * z) + RIDGE / 2 * weights @ weights)
+
+
+def class_weights(label: np.ndarray, share: float) -> np.ndarray:
+    """Weights by which the classes of a sample weigh what they do among all labels."""
+    toxic = np.clip(label.mean(), 1e-9, 1 - 1e-9)
+    share = np.clip(share, 1e-6, 1 - 1e-6)
+    return np.where(label > 0, share / toxic, (1 - share) / (1 - toxic))
 
 
 def calibrate(found: np.ndarray, label: np.ndarray, share: float) -> np.ndarray:
-    """Weights of a ridge-penalised logistic fit, each class weighing what it does among all
-    labels, by Newton steps."""
-    toxic = max(label.mean(), 1e-9)
-    weight = np.where(label > 0, share / toxic, (1 - share) / max(1 - toxic, 1e-9))
-    weights, ridge = np.zeros(found.shape[1]), np.diag([0.1] * (found.shape[1] - 1) + [1e-6])
-    for _ in range(100):
-        q = 1 / (1 + np.exp(-np.clip(found @ weights, -500, 500)))
-        gradient = found.T @ (weight * (label - q)) - ridge @ weights
-        curve = (found * (weight * np.maximum(q * (1 - q), 1e-9))[:, None]).T @ found + ridge
-        move = np.clip(np.linalg.solve(curve, gradient), -1, 1)
-        weights = weights + move
-        if np.abs(move).max() < 1e-8:
+    """Weights, none negative, of greatest penalised likelihood. Newton steps are halved until the
+    objective falls, and the fit has settled once its gradient vanishes, else it raises. A weight
+    that would be negative is zero, and the others are fitted without it."""
+    weight, free = class_weights(label, share), np.ones(found.shape[1], dtype=bool)
+    while True:
+        x, w = found[:, free], np.zeros(int(free.sum()))
+        for _ in range(200):
+            q = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
+            gradient = x.T @ (weight * (q - label)) + RIDGE * w
+            if np.abs(gradient).max(initial=0) < 1e-7 * max(1.0, float(weight.sum())):
+                break
+            curve = (x * (weight * q * (1 - q))[:, None]).T @ x + RIDGE * np.eye(len(w))
+            move, step, now = np.linalg.solve(curve, gradient), 1.0, objective(w, x, label, weight)
+            while objective(w - step * move, x, label, weight) > now - 1e-4 * step * gradient @ move and step > 1e-12:
+                step /= 2
+            w = w - step * move
+        else:
+            raise RuntimeError("the calibration did not settle")
+        if (w >= 0).all():
             break
+        free[np.flatnonzero(free)[w < 0]] = False
+    weights = np.zeros(found.shape[1])
+    weights[free] = w
+    weights[0] = max(weights[0], 1e-3)  # the likeliest token always decides
     return weights
 
 
@@ -145,8 +177,8 @@ def _passages(batches):
             )
 
 
-def training_passages(docs: DataFrame, labels: DataFrame, sample: int, passages: int) -> tuple[pd.DataFrame, float]:
-    """At most `passages` passages of each class from `sample` documents each, and the share of
+def training_passages(docs: DataFrame, labels: DataFrame, sample: int, passages: int) -> tuple[DataFrame, float]:
+    """(toxic, key, part, passage), at most `passages` passages of each class from `sample` documents each, and the share of
     toxic documents among all labelled ones that may be learned from."""
     known = (
         labels.where("doc_id is not null and toxic is not null")
@@ -163,8 +195,7 @@ def training_passages(docs: DataFrame, labels: DataFrame, sample: int, passages:
     cut = texts.mapInArrow(_passages, "toxic int, key long, part int, passage string")
     rank = (F.xxhash64(F.lit(13), "key"), F.col("key"), F.col("part"), F.col("passage"))
     taken = [cut.where(F.col("toxic") == c).orderBy(*rank).limit(passages) for c in (0, 1)]
-    frame = taken[0].unionByName(taken[1]).toPandas()
-    return frame, counts.get(1, 0) / max(1, sum(counts.values()))
+    return taken[0].unionByName(taken[1]), counts.get(1, 0) / max(1, sum(counts.values()))
 
 
 def offences(words: list[list[str]], toxic: np.ndarray, ratio: float = 20.0, contexts: int = 6,
@@ -197,6 +228,18 @@ def offences(words: list[list[str]], toxic: np.ndarray, ratio: float = 20.0, con
     return {w for w in found if not any(w[:n] + "*" in found for n in STEMS if n < len(w.rstrip("*")))}
 
 
+def repeated(ids: np.ndarray, tags: np.ndarray, lengths: np.ndarray, passages: int = 300,
+             times: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sequences, and `passages` of those with offences once more with every offence said
+    several times: an offence beside another is none the less one, which passages may not show."""
+    ends = np.cumsum(lengths)
+    chosen = [i for i in range(len(lengths)) if tags[ends[i] - lengths[i] : ends[i]].any()][:passages]
+    rows = [np.arange(ends[i] - lengths[i], ends[i]) for i in chosen]
+    more = [np.repeat(r, np.where(tags[r] > 0, times, 1)) for r in rows]
+    at = np.concatenate([np.arange(len(ids)), *more])
+    return ids[at], tags[at], np.concatenate([lengths, np.array([len(m) for m in more], dtype=np.int64)])
+
+
 def train(frame: pd.DataFrame, share: float, vocabulary: int = 3000, l2: float = 0.3) -> Scorer | None:
     """The scorer, or None if a class is missing."""
     if set(frame["toxic"]) != {0, 1}:
@@ -210,7 +253,7 @@ def train(frame: pd.DataFrame, share: float, vocabulary: int = 3000, l2: float =
     names = {w: i + 2 for i, w in enumerate(kept[: max(vocabulary, len(bad))])}
     ids, lengths = encode(frame["passage"].tolist(), Ids(names))
     tags = np.repeat(toxic, lengths) & np.isin(ids, [names[w] for w in bad])
-    model = crf.fit(names, ids, tags, lengths, l2=l2)
+    model = crf.fit(names, *repeated(ids, tags, lengths), l2=l2)
     # calibration: the sampled documents
     doc, first = np.unique(frame["key"].to_numpy(), return_index=True)
     found = evidence(model.tag(ids, lengths), lengths, np.searchsorted(doc, frame["key"].to_numpy()))
@@ -220,8 +263,17 @@ def train(frame: pd.DataFrame, share: float, vocabulary: int = 3000, l2: float =
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 1500, passages: int = 2500) -> Scorer | None:
     """Learn from labelled documents whose remainder allows it. labels: doc_id, toxic; of a
     repeated doc_id, toxic wins; null labels say nothing."""
-    frame, share = training_passages(docs, labels, sample, passages)
-    return train(frame, share)
+    passages_, share = training_passages(docs, labels, sample, passages)
+
+    def learn(batches):
+        rows = [b.to_pandas() for b in batches]
+        scorer = train(pd.concat(rows, ignore_index=True), share) if rows else None
+        parts = scorer and (vars(scorer.model), scorer.weights)
+        yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(parts)], pa.binary())})
+
+    # one task learns from the bounded sample; the driver sees the weights
+    parts = pickle.loads(passages_.repartition(1).mapInArrow(learn, "model binary").first().model)
+    return parts and Scorer(crf.Model(**parts[0]), parts[1])
 
 
 def tagged(text: Column, scorer: Scorer | None) -> Column:
