@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from suite.queries import QUERIES, _monthly_fct
 from tests.conftest import as_set
-from tripledger.functions.numeric import exact_sums, mean_of
+from tripledger.functions.numeric import LIMBS, exact_sums, mean_of, merge_sums, partial_sums
 from tripledger.operators import joins, metrics, refresh
 from tripledger.operators.staging import stage
 from tripledger.sources import workdir
@@ -48,6 +48,32 @@ def test_sums_are_those_of_unlimited_precision(spark):
         assert sums(df.repartition(n)) == want
 
 
+def test_partial_sums_are_bounded(spark):
+    """Wide magnitudes in several columns add up to rows per column and digit, not to their product."""
+    rng = random.Random(2)
+    values = [[math.ldexp(rng.uniform(-1, 1), rng.randint(-1000, 1000)) for _ in range(3)] for _ in range(20_000)]
+    df = spark.createDataFrame([(1, *v) for v in values], "k int, a double, b double, c double").repartition(5)
+    columns = {n: F.col(n) for n in "abc"}
+    parts = materialize(partial_sums(df, ["k"], columns), "parts")
+    assert 100 < parts.count() <= 1 + 3 * LIMBS
+    merged = merge_sums(parts, ["k"], list("abc"))
+    assert tuple(merged.first()) == (1, 20_000, *(x for n in range(3) for x in (math.fsum(v[n] for v in values), 20_000)))
+    assert "collect_list" not in merged._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_sums_at_the_ends_of_the_core(spark):
+    """Values at and beside the limits of the digits that are plain columns, and large totals."""
+    rng = random.Random(4)
+    ends = [2.0**-19, 2.0**48, 2.0**-20, math.nextafter(2.0**48, 0), math.nextafter(2.0**-19, 0), 1e-300, 1e306]
+    groups = {f"g{i}": [rng.choice(ends) * rng.choice([1, -1]) for _ in range(rng.randint(1, 9))] for i in range(300)}
+    groups["large"] = [2.0**48 - 1] * 5000
+    groups["tie"] = [2.0**53, 1.0]
+    groups["over"] = [2.0**53, 1.0, 2.0**-70]
+    groups["under"] = [-(2.0**53), -1.0, 2.0**-19]
+    df = spark.createDataFrame([(g, x) for g, v in groups.items() for x in v], "g string, x double")
+    assert sums(df.repartition(3)) == {g: math.fsum(v) for g, v in groups.items()}
+
+
 def test_sum_edge_cases(spark):
     def total(values):
         df = spark.createDataFrame([(v,) for v in values], "x double")

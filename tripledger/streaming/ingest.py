@@ -10,8 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tripledger.contract import Bounds
 from tripledger.operators.facts import PARTITION, fct_trips, write_facts
-from tripledger.functions.numeric import bin_columns
-from tripledger.operators.metrics import DAILY_SUMS, daily_from_parts, daily_metrics, daily_parts
+from tripledger.functions.numeric import SLOT
+from tripledger.operators.metrics import daily_from_parts, daily_metrics, daily_parts
 from tripledger.operators.refresh import facts_of_dates, touched_dates
 from tripledger.operators.staging import classify_rejects, stage, typed_trips
 from tripledger.sources.workdir import materialize
@@ -116,7 +116,7 @@ def stream_daily(
         _replace(rows, f"{target}/daily_parts/batch={batch}")
         changed = spark.read.schema(rows.schema).parquet(f"{target}/daily_parts/batch={batch}")
         dates = changed.select(F.col("date").alias("_date")).distinct()
-        keys = ("date", *bin_columns(len(DAILY_SUMS)))
+        keys = ("date", SLOT)
         now = latest(spark, f"{target}/daily_parts", *keys, batch=batch)
         now = now.join(dates, F.col("date").eqNullSafe(F.col("_date")), "left_semi")
         _replace(daily_from_parts(now), f"{target}/daily_state/batch={batch}")
