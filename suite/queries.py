@@ -18,7 +18,7 @@ from tripledger.plans.publish import (
     environment_checksums,
     point_views,
 )
-from tripledger.sources import files, fixture, months, sinks, zones
+from tripledger.sources import files, fixture, months, sinks, versions, zones
 from tripledger.sources.orders import ORDER_BOUNDS, order_trips, order_zones, table
 from tripledger.sources.workdir import fresh_dir, materialize
 from tripledger.streaming import ingest
@@ -708,7 +708,7 @@ def changed_files(spark, sf):
 @query
 def storage_stats(spark, sf):
     build = _build(spark, sf)
-    return files.storage_stats(spark, build.paths)
+    return files.storage_stats(spark, {name: versions.parts(where)[0][0] for name, where in build.paths.items()})
 
 
 @query

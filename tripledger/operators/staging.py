@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from tripledger.contract import Bounds
 from tripledger.functions.numeric import is_finite, to_bigint
 from tripledger.functions.trip import elapsed_minutes, payment_label
+from tripledger.operators.facts import PARTITION
+from tripledger.sources.sinks import spread
+
+OUTCOME, ACCEPTED = "outcome", "accepted"
 
 
 def rename_cast(raw: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -90,6 +94,25 @@ def stage(raw: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
     return quality_filter(typed_trips(raw), bounds)
 
 
+def write_classified(raw: DataFrame, path: str, bounds: Bounds = Bounds(), only: str = "true") -> None:
+    """Store every raw row once, typed, below ``path``: accepted rows in ``outcome=accepted``, by
+    pickup month and sorted by date, the others in a folder per reject reason. Rows that do not
+    meet the condition ``only`` on the typed columns are left out."""
+    rows = classify_rejects(typed_trips(raw), bounds).where(only)
+    accepted = F.col("reject_reason").isNull()
+    rows = rows.withColumns({
+        OUTCOME: F.coalesce("reject_reason", F.lit(ACCEPTED)),
+        PARTITION: F.when(accepted, F.trunc("pickup_date", "MM")),  # odd dates make no folders
+    }).drop("reject_reason")
+    (
+        spread(rows, OUTCOME, PARTITION)
+        .sortWithinPartitions(OUTCOME, PARTITION, "pickup_date")
+        .write.option("compression", "zstd")
+        .partitionBy(OUTCOME, PARTITION)
+        .parquet(path)
+    )
+
+
 def reject_counts(raw: DataFrame, bounds: Bounds = Bounds()) -> DataFrame:
     """Rows per reject reason; accepted rows count as ``accepted``."""
     reason = F.coalesce("reject_reason", F.lit("accepted")).alias("reject_reason")

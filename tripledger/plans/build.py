@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, StructField, StructType
+from pyspark.sql.types import DateType, StringType, StructField, StructType
 
 from tripledger.contract import MONTH_FILE, TABLES, ZONE_FILE, Bounds
 from tripledger.operators.facts import PARTITION, between_dates, dim_zones, fct_trips, write_facts
@@ -14,31 +14,52 @@ from tripledger.operators.metrics import daily_metrics, monthly_metrics, zone_me
 from tripledger.operators.quality import quality_report
 from tripledger.operators.records import RECORD_SCHEMA
 from tripledger.operators.refresh import overwrite_range
-from tripledger.operators.staging import stage
+from tripledger.operators.staging import ACCEPTED, OUTCOME, stage, write_classified
 from tripledger.sources.files import storage_stats
 from tripledger.sources.months import read_months
 from tripledger.sources.sinks import write_table
+from tripledger.sources.versions import location, parts, read_location, replaced
 from tripledger.sources.workdir import fresh_dir
 from tripledger.sources.zones import check_zone_lookup, read_zone_csv
 
 
+MONTH = StructField(PARTITION, DateType())
+ACCEPTED_ROWS = f"{OUTCOME} = '{ACCEPTED}'"
+#: Storage columns of the tables that are kept by month.
+STORAGE = {"stg_trips": [StructField(OUTCOME, StringType()), MONTH], "fct_trips": [MONTH]}
+
+
 @dataclass
 class Build:
-    """Stored tables of one build: where they are, how many rows they have."""
+    """Stored tables of one build: their locations (see ``sources.versions``), how many rows they
+    have. ``trips`` holds all raw rows, typed, with their outcome."""
 
     paths: dict[str, str]
     rows: dict[str, int] = field(default_factory=dict)
     schemas: dict[str, StructType] = field(default_factory=dict)
     input_rows: int = 0
+    trips: str = ""
+    variant: str = "fare"
+
+    def _stored(self, spark: SparkSession, name: str) -> DataFrame:
+        schema = StructType([*self.schemas[name], *STORAGE.get(name, [])])
+        return read_location(spark, self.paths[name], schema)
 
     def table(self, spark: SparkSession, name: str) -> DataFrame:
-        schema = self.schemas[name]
-        return spark.read.schema(schema).parquet(self.paths[name]).select(*schema.names)
+        return self._stored(spark, name).select(*self.schemas[name].names)
 
     def facts(self, spark: SparkSession) -> DataFrame:
         """The facts with their storage column, by which Spark can skip whole months."""
-        schema = StructType([*self.schemas["fct_trips"], StructField(PARTITION, DateType())])
-        return spark.read.schema(schema).parquet(self.paths["fct_trips"])
+        return self._stored(spark, "fct_trips")
+
+    def classified(self, spark: SparkSession) -> DataFrame:
+        """All raw rows, typed, with ``outcome``: accepted, or the first rule that they break."""
+        schema = StructType([*self.schemas["stg_trips"], *STORAGE["stg_trips"]])
+        return read_location(spark, self.trips, schema).drop(PARTITION)
+
+    def rejects(self, spark: SparkSession) -> DataFrame:
+        """The rows that staging rejected, with their reason in ``outcome``."""
+        return self.classified(spark).where(f"{OUTCOME} <> '{ACCEPTED}'")
 
     def tables(self, spark: SparkSession) -> dict[str, DataFrame]:
         return {name: self.table(spark, name) for name in TABLES}
@@ -62,22 +83,24 @@ def build_tables(
 ) -> Build:
     """Full rebuild into a new folder; nothing that already exists is touched.
 
-    Facts are stored by month, so that later refreshes read only the months they need. Row
+    The raw input is read once: all its rows are stored with their outcome, the accepted ones by
+    month. Facts are stored by month too, so that later refreshes read only the months they need. Row
     counts come from the footers of the written files; counters kept while writing would count
     the rows of repeated tasks twice. With ``reuse`` the staged trips and the dimension of an
     earlier build serve again, for a change of logic that does not concern them.
     """
     spark = raw.sparkSession
     done = _new_build(spark)
+    done.variant = variant
     if reuse is None:
-        done.input_rows = raw.count()
-        _store(spark, done, "stg_trips", stage(raw, bounds))
+        _store_trips(spark, done, raw, bounds)
+        done.input_rows = done.classified(spark).count()
         _store(spark, done, "dim_zones", dim_zones(raw_zones))
     else:
         for name in ("stg_trips", "dim_zones"):
             done.paths[name], done.rows[name] = reuse.paths[name], reuse.rows[name]
             done.schemas[name] = reuse.schemas[name]
-        done.input_rows = reuse.input_rows
+        done.input_rows, done.trips = reuse.input_rows, reuse.trips
     stg, dim = (done.table(spark, name) for name in ("stg_trips", "dim_zones"))
     fct = _store(spark, done, "fct_trips", fct_trips(stg, dim, variant), write_facts)
     _store_metrics(spark, done, fct, daily_metrics(fct, fare_offset))
@@ -93,15 +116,33 @@ def restate(
     bounds: Bounds = Bounds(),
     variant: str = "fare",
 ) -> Build:
-    """Recompute after a correction of the input. Staged trips, zones, facts and the two tables
-    that cover the whole history are rebuilt; of the daily table only the dates from start to
-    end (inclusive) are replaced, also those that vanished, and all others keep their rows."""
+    """Recompute after a correction of the input: staged trips and facts of the months from start
+    to end, and of the daily table the dates from start to end (inclusive), also those that
+    vanished. Months that are not touched stay where the previous build has them; the small tables
+    over all history are written anew. Rejected rows without a pickup date belong to no month and
+    keep their first version. Facts of all months are, too, if zones or variant changed.
+    """
     spark = raw.sparkSession
     done = _new_build(spark)
-    done.input_rows = raw.count()
-    stg = _store(spark, done, "stg_trips", stage(raw, bounds))
+    done.variant = variant
+    months = f"BETWEEN DATE '{start.replace(day=1)}' AND DATE '{end.replace(day=1)}'"
+    touched = f"trunc(pickup_date, 'MM') {months}"
+    _store_trips(spark, done, raw, bounds, touched)
+    fresh_rows = done.table(spark, "stg_trips")
+    done.trips = replaced(done.trips, previous.trips, touched)
+    done.paths["stg_trips"] = replaced(done.paths["stg_trips"], previous.paths["stg_trips"], f"{PARTITION} {months}")
+    done.rows["stg_trips"] = done.table(spark, "stg_trips").count()
+    done.input_rows = done.classified(spark).count()
     dim = _store(spark, done, "dim_zones", dim_zones(raw_zones))
-    fct = _store(spark, done, "fct_trips", fct_trips(stg, dim, variant), write_facts)
+    known = previous.table(spark, "dim_zones")
+    same = dim.exceptAll(known).isEmpty() and known.exceptAll(dim).isEmpty()
+    if same and variant == previous.variant:
+        _store(spark, done, "fct_trips", fct_trips(fresh_rows, dim, variant), write_facts)
+        done.paths["fct_trips"] = replaced(done.paths["fct_trips"], previous.paths["fct_trips"], f"{PARTITION} {months}")
+        fct = done.table(spark, "fct_trips")
+        done.rows["fct_trips"] = fct.count()
+    else:
+        fct = _store(spark, done, "fct_trips", fct_trips(done.table(spark, "stg_trips"), dim, variant), write_facts)
     restated = daily_metrics(between_dates(done.facts(spark), start, end))
     kept = previous.table(spark, "daily_metrics")
     _store_metrics(spark, done, fct, overwrite_range(kept, restated, "date", start, end))
@@ -113,6 +154,14 @@ def _new_build(spark: SparkSession) -> Build:
     return Build({name: f"{base}/{name}" for name in TABLES})
 
 
+def _store_trips(spark: SparkSession, build: Build, raw: DataFrame, bounds: Bounds, only: str = "true") -> None:
+    folder = build.paths["stg_trips"]
+    write_classified(raw, folder, bounds, only)
+    build.schemas["stg_trips"] = stage(raw, bounds).schema
+    build.trips, build.paths["stg_trips"] = folder, location((folder, [ACCEPTED_ROWS]))
+    build.rows["stg_trips"] = build.table(spark, "stg_trips").count()
+
+
 def _store(
     spark: SparkSession,
     build: Build,
@@ -168,7 +217,8 @@ def run_record(
     """One measurement record of a finished build, with status ``built`` until ``run_status``
     adds a verdict. ``run`` names the run: run_id, implementation, scenario, dataset_kind,
     dataset_year, dataset_months, start_month."""
-    size = storage_stats(spark, build.paths).agg(F.sum("size_mib")).first()[0]
+    own = {name: parts(where)[0][0] for name, where in build.paths.items()}
+    size = storage_stats(spark, own).agg(F.sum("size_mib")).first()[0]
     values = {
         **run,
         "input_rows": build.input_rows,

@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tripledger.contract import COLUMN_COMMENTS, TABLE_COMMENTS, Bounds
 from tripledger.operators.compare import checksums, database_tables
+from tripledger.operators.facts import PARTITION
 from tripledger.operators.quality import gate
+from tripledger.operators.staging import OUTCOME
 from tripledger.plans.build import Build, report_for
+from tripledger.sources.versions import parts
 from tripledger.sources.workdir import shared_dir
 
 
@@ -18,15 +21,19 @@ def ensure_database(spark: SparkSession, database: str) -> None:
 
 
 POINTER = "current_build"
+#: Storage columns that views do not show.
+HIDDEN = {"stg_trips": (OUTCOME, PARTITION)}
 
 
 def _pointer(build: str, paths: dict[str, str]) -> str:
-    listed = ", ".join(f"'{name}', '{path}'" for name, path in paths.items())
+    text = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    listed = ", ".join(f"{text(name)}, {text(path)}" for name, path in paths.items())
     return f"SELECT '{build}' AS build, {f'map({listed})' if paths else 'CAST(map() AS MAP<STRING, STRING>)'} AS paths"
 
 
 def point_views(spark: SparkSession, database: str, paths: dict[str, str]) -> None:
-    """Point the views of a database at stored tables, all of them in one step.
+    """Point the views of a database at stored tables (their locations, see ``sources.versions``),
+    all of them in one step.
 
     Every view holds the old and the new version of its table, and shows the one that the view
     ``current_build`` names. Spark folds that name into the plan, so only the shown version is
@@ -52,13 +59,16 @@ def _stage_view(
     spark: SparkSession, database: str, name: str, new: str, build: str, old: str | None, shown: str
 ) -> None:
     """Let a view show the new path once the pointer names ``build``, and the old one until then."""
-    columns = spark.read.parquet(new).columns
-
-    def version(path: str, when: str) -> str:
-        have = spark.read.parquet(path).columns
-        listed = ", ".join(f"`{c}`" if c in have else f"NULL AS `{c}`" for c in columns)
-        current = f"(SELECT build FROM `{database}`.`{POINTER}`)"
-        return f"SELECT {listed} FROM parquet.`{path}` WHERE {current} = '{when}'"
+    columns = [c for c in spark.read.parquet(parts(new)[0][0]).columns if c not in HIDDEN.get(name, ())]
+
+    def version(where: str, when: str) -> str:
+        current = f"(SELECT build FROM `{database}`.`{POINTER}`) = '{when}'"
+        selects = []
+        for path, conditions in parts(where):
+            have = spark.read.parquet(path).columns
+            listed = ", ".join(f"`{c}`" if c in have else f"NULL AS `{c}`" for c in columns)
+            selects.append(f"SELECT {listed} FROM parquet.`{path}` WHERE {' AND '.join([current, *conditions])}")
+        return " UNION ALL ".join(selects)
 
     versions = [version(new, build)] + ([version(old, shown)] if old else [])
     comments = COLUMN_COMMENTS.get(name, {})

@@ -18,15 +18,15 @@ def salts(spark: SparkSession) -> int:
     return max(SALTS, spark.sparkContext.defaultParallelism)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Bring rows of one key together for a partitioned write, without one task per key.
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Bring rows of equal keys together for a partitioned write, without one task per key.
 
     Adaptive execution splits a key that holds much of the data over many tasks and packs small
     keys together. Where it is switched off, a salt bounds the share of a task.
     """
     if df.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true":
-        return df.hint("rebalance", key)
-    return with_salt(df, "_salt").repartition(key, "_salt").drop("_salt")
+        return df.hint("rebalance", *keys)
+    return with_salt(df, "_salt").repartition(*keys, "_salt").drop("_salt")
 
 
 def write_table(df: DataFrame, path: str, partition_by: str | None = None) -> None:
