@@ -681,10 +681,10 @@ def oracles() -> dict[str, str]:
             RAW,
         ),
         "zone_csv": sql("SELECT * FROM dim_zones", RAW_ZONES, DIM),
-        "csv_records": r"""SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN '' WHEN 1 THEN NULL
-                WHEN 2 THEN '  ' || text || ' , "quoted" ' || chr(13) || chr(10) || ' \ '
-                ELSE text END AS text, lang, source, n_chars,
-            '{"source":"' || source || '"}' AS tags FROM documents""",
+        "csv_records": r"""SELECT doc_id, version, CASE version WHEN 0 THEN text WHEN 2 THEN ''
+                WHEN 1 THEN '  ' || text || ' , "quoted" ' || chr(13) || chr(10) || ' \ ' END AS text,
+            lang, source, n_chars, '{"source":"' || source || '"}' AS tags
+            FROM documents, (SELECT unnest([0, 1, 2, 3])::INTEGER AS version)""",
         "json_records": sql(
             "SELECT timestamp, implementation, execution_seconds, database_size_mb, equivalent, "
             "input_rows AS output_row_count, implementation AS first_model FROM records",

@@ -658,16 +658,14 @@ def zone_csv(spark, sf):
 
 @query
 def csv_records(spark, sf):
-    """Texts with spaces, line ends, quotes and commas; empty ones and NULL."""
+    """Every text as it is, and once more with spaces, line ends, quotes and commas around it, empty,
+    and NULL."""
     path = fresh_dir(spark, "records")
-    kind = F.col("doc_id") % 7
-    text = (
-        F.when(kind == 0, F.lit(""))
-        .when(kind == 1, F.lit(None).cast("string"))
-        .when(kind == 2, F.concat(F.lit("  "), "text", F.lit(' , "quoted" \r\n \\ ')))
-        .otherwise(F.col("text"))
-    )
-    documents = table(spark, sf, "documents").withColumn("text", text)
+    around = F.concat(F.lit("  "), "text", F.lit(' , "quoted" \r\n \\ '))
+    cells = F.array("text", around, F.lit(""), F.lit(None).cast("string"))
+    documents = table(spark, sf, "documents")
+    others = [c for c in documents.columns if c != "text"]
+    documents = documents.select(*others, F.posexplode(cells).alias("version", "text"))
     nested = documents.withColumn("tags", F.create_map(F.lit("source"), "source"))
     sinks.write_csv(nested, path)
     return sinks.read_csv(spark, path, sinks.nested_as_json(nested).schema)
