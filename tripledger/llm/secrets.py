@@ -6,8 +6,9 @@ hexadecimal digits). The fourth, bare, is a long run of key characters with lowe
 case and digits that lies in no base span.
 
 The values of all spans are hashed and counted over the whole corpus: how many places, distinct
-repositories and distinct owners has each? A value with `common` owners or more is a copied
-example. One that fewer have is live-looking. A bare run is reported if it is live-looking, as a
+repositories and distinct owners has each? A value of a single owner is that owner's, in however many
+repositories it lies: live-looking. One with `common` owners or more is a copied example, and so is
+one that fewer owners share but `wide` repositories or more hold. A bare run is reported if it is live-looking, as a
 widely copied one is most likely a file id or a documentation sample; base spans carry the class.
 
 Places are code points. They come from the lengths of what lies between matches, summed per row
@@ -31,6 +32,7 @@ KINDS = {
 BASE = ["assign", "access", "hex"]
 ASSIGN_LEAST = 12
 COMMON = 3
+WIDE = 20  # repositories from which a value that owners share is a copied example
 
 
 def _hits(text: Column, pattern: str) -> Column:
@@ -91,13 +93,14 @@ def spans(scanned: DataFrame) -> DataFrame:
     return each.select("row", "owner", "repo", "kind", "at", "start", "end", F.sha2("value", 256).alias("hash"))
 
 
-def ownership(found: DataFrame, common: int = COMMON) -> DataFrame:
+def ownership(found: DataFrame, common: int = COMMON, wide: int = WIDE) -> DataFrame:
     """hash, places, repos, owners, copied of every value. Distinct pairs are counted before they
     are shuffled by value, so one value that stands everywhere costs no task more than others."""
     pairs = found.groupBy("hash", "owner").agg(F.count("*").alias("places"))
     owners = pairs.groupBy("hash").agg(F.sum("places").alias("places"), F.count("*").alias("owners"))
     repos = found.select("hash", "repo").distinct().groupBy("hash").agg(F.count("*").alias("repos"))
-    return owners.join(repos, "hash").withColumn("copied", F.col("owners") >= common)
+    copied = (F.col("owners") >= common) | ((F.col("owners") > 1) & (F.col("repos") >= wide))
+    return owners.join(repos, "hash").withColumn("copied", copied)
 
 
 def _listed(items: Column) -> Column:
@@ -106,18 +109,18 @@ def _listed(items: Column) -> Column:
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source",
-         repo_col: str | None = None, common: int = COMMON) -> DataFrame:
+         repo_col: str | None = None, common: int = COMMON, wide: int = WIDE) -> DataFrame:
     """Per row of docs: id, counts of the base kinds, base (their spans), spans (all reported),
     and how many of the reported are live-looking and copied.
 
-    base and spans are arrays of (start, at, kind, end, copied, owners) in order of start and
+    base and spans are arrays of (start, at, kind, end, copied, owners, repos) in order of start and
     kind. Null and empty texts have none. A null owner or repository counts as one of its own.
     repo_col: the document itself unless given.
     """
     scanned = scan(docs, id_col, text_col, owner_col, repo_col or id_col)
     found = materialize(spans(scanned), "spans")
-    judged = found.join(ownership(found, common), "hash").where("kind <> 'bare' or not copied")
-    item = F.struct("start", "at", "kind", "end", "copied", "owners")
+    judged = found.join(ownership(found, common, wide), "hash").where("kind <> 'bare' or not copied")
+    item = F.struct("start", "at", "kind", "end", "copied", "owners", "repos")
     per_row = judged.groupBy("row").agg(F.sort_array(F.collect_list(item)).alias("spans"))
     none = F.array().cast(per_row.schema["spans"].dataType)
     out = scanned.select("row", "id").join(per_row, "row", "left").withColumn("spans", F.coalesce("spans", none))
@@ -132,6 +135,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
-    """`find` with the spans as text and the base spans as their SHA-256."""
+    """`find` with the spans as text and the base spans as their SHA-256, and `seen`: for each of
+    the spans how many repositories and owners its value has, as repositories:owners."""
     found = find(docs, **options)
+    each = F.transform("spans", lambda x: F.concat_ws(":", x["repos"].cast("string"), x["owners"].cast("string")))
+    found = found.withColumn("seen", F.array_join(each, ","))
     return found.withColumns({"base_sha256": F.sha2(_listed(F.col("base")), 256), "spans": _listed(F.col("spans"))}).drop("base")
