@@ -56,3 +56,26 @@ def test_run(spark):
     rows = corpus_pipeline.run(spark, SF)
     assert rows.columns == ["doc_id", "piece", "start", "length", "bin_id", "capacity", "offset"]
     assert rows.count() > 0 and rows.where("bin_id is null").count() == 0
+
+
+def test_odd_rows(spark, documents):
+    """Nulls, empty and very long texts, repeated rows and ties, and no rows at all, through every
+    stage: what is clean and not alike stays, and the columns of documents stay documents' own."""
+    long = " ".join(f"w{i}" for i in range(120_000))
+    rows = [(1, None), (2, ""), (3, " \n "), (4, "a b c"), (4, "a b c"), (None, "d e f g h"), (5, long), (6, long), (7, "é" * 50, None, "s")]
+    rows = [(i if i is None else i - 100, *rest) for i, *rest in rows]  # ids that no label has
+    rows += [(-50 + i, " ".join(f"x{i}y{j}" for j in range(30)), "en", f"s{i % 3}") for i in range(12)]
+    for docs in (documents(rows), documents([])):
+        count = docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            docs = materialize(stage(spark, docs, SF), name)
+            if name != "packing":
+                assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+            if name == "toxicity":
+                assert docs.count() == count
+            if name == "simhash" and count:
+                kept = [r.doc_id for r in docs.select("doc_id").collect()]
+                assert -95 in kept and -94 not in kept and set(range(-50, -38)) <= set(kept)
+            if name == "pii" and count:
+                assert long in {r.text for r in docs.collect()}
+        assert (docs.count() > 0) == (count > 0)
