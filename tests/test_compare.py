@@ -10,7 +10,9 @@ from tests.conftest import as_set
 from tripledger.operators.compare import (
     comparable,
     compare_all,
+    content_checksum,
     database_tables,
+    hashed,
     multiset_diff,
     positional_mismatches,
     schema_diff,
@@ -46,6 +48,7 @@ CHANGES = {
     "NULL for empty": {"note": "nullif(note, '')"},
     "a large number": {"number": "if(number > 9, number - 1, number)"},
 }
+CHECKSUMS = (table_checksum, content_checksum)
 LAYOUTS = {
     "narrower": lambda df: df.withColumn("number", F.col("number").cast("decimal(20,0)")),
     "other name": lambda df: df.withColumnRenamed("note", "Note"),
@@ -61,13 +64,14 @@ def test_changed_values(spark, change):
     for exact in (True, False):
         both = compare_all(spark, {"t": before}, {"a": {"t": before}, "b": {"t": after}}, exact)
         assert {r.candidate: r.equivalent for r in both.collect()} == {"a": True, "b": False}
-    assert table_checksum(before).first() != table_checksum(after).first()
+    for checksum in CHECKSUMS:
+        assert checksum(before).first() != checksum(after).first()
     assert multiset_diff(before, after).agg(F.sum("copies_delta")).first()[0] == 0
     assert positional_mismatches(before, after).first().mismatches > 0
-    # the checksum takes maps as they are
-    assert table_checksum(events(spark)).first() != table_checksum(
-        events(spark).withColumns({c: F.expr(e) for c, e in CHANGES[change].items()})
-    ).first()
+    # the checksums take maps as they are
+    changed = events(spark).withColumns({c: F.expr(e) for c, e in CHANGES[change].items()})
+    for checksum in CHECKSUMS:
+        assert checksum(events(spark)).first() != checksum(changed).first()
 
 
 @pytest.mark.parametrize("copies", [0, 1, 2, 4])
@@ -79,12 +83,14 @@ def test_changed_number_of_copies(spark, copies):
     assert [r.copies_delta for r in multiset_diff(df, other).collect()] == [copies - 3]
     report = compare_all(spark, {"t": df}, {"o": {"t": other}}).first()
     assert (report.differing_rows, report.candidate_rows) == (abs(copies - 3), 3 + copies)
-    assert table_checksum(df).first() != table_checksum(other).first()
+    for checksum in CHECKSUMS:
+        assert checksum(df).first() != checksum(other).first()
 
 
 @pytest.mark.parametrize("layout", LAYOUTS)
 def test_changed_layout(spark, layout):
     before, after = events(spark), LAYOUTS[layout](events(spark))
+    assert content_checksum(before).first() != content_checksum(after).first()
     assert schema_diff(before, after) and not schema_diff(before, events(spark))
     row = compare_all(spark, {"t": before}, {"c": {"t": after}}).first()
     assert (row.same_schema, row.equivalent, row.baseline_rows, row.candidate_rows) == (False, False, 6, 6)
@@ -94,7 +100,8 @@ def test_row_order_says_nothing(spark):
     df = flat(events(spark))
     shuffled = df.repartition(5).orderBy(F.desc("number"))
     assert multiset_diff(df, shuffled).isEmpty()
-    assert table_checksum(df).first() == table_checksum(shuffled).first()
+    for checksum in CHECKSUMS:
+        assert checksum(df).first() == checksum(shuffled).first()
     assert positional_mismatches(df, shuffled).first().mismatches == 0
 
 
@@ -105,6 +112,7 @@ def test_empty_tables(spark):
         assert report.equivalent and report.baseline_rows == 0
     assert as_set(positional_mismatches(empty, empty)) == [(0, 0, 0)]
     assert table_checksum(empty).first() == (0, "0-0")
+    assert content_checksum(empty).first() == (0, "0-0-0-0-0-0")
     one = spark.createDataFrame([(1,)], "id bigint")
     assert as_set(positional_mismatches(empty, one)) == [(0, 1, 1)]
 
@@ -119,9 +127,46 @@ def test_nonfinite_rules_equivalence_out(spark):
 def test_null_positions_differ_in_checksum(spark):
     a = spark.sql("SELECT 1 AS x, CAST(NULL AS INT) AS y")
     b = spark.sql("SELECT CAST(NULL AS INT) AS x, 1 AS y")
-    assert table_checksum(a).first() != table_checksum(b).first()
     twice = a.unionAll(a)
-    assert table_checksum(twice).first() != table_checksum(a.limit(0)).first()
+    for checksum in CHECKSUMS:
+        assert checksum(a).first() != checksum(b).first()
+        assert checksum(twice).first() != checksum(a.limit(0)).first()
+
+
+PAIRS = {  # rows of the same types that a careless encoding takes for equal
+    "signed zero": ("0.0D AS x", "CAST('-0.0' AS DOUBLE) AS x"),
+    "signed zero, float": ("CAST(0.0 AS FLOAT) AS x", "CAST('-0.0' AS FLOAT) AS x"),
+    "text borders": ("'ab' AS x, 'c' AS y", "'a' AS x, 'bc' AS y"),
+    "empty and null text": ("'' AS x, CAST(NULL AS STRING) AS y", "CAST(NULL AS STRING) AS x, '' AS y"),
+    "null and zero": ("CAST(NULL AS BIGINT) AS x", "0L AS x"),
+    "null and NaN": ("CAST(NULL AS DOUBLE) AS x", "CAST('NaN' AS DOUBLE) AS x"),
+    "array borders": ("array(array(1), array(2)) AS x", "array(array(1, 2)) AS x"),
+    "null in an array": ("array(1, NULL) AS x", "array(1) AS x"),
+    "null and empty map": ("map('a', 1) AS x", "CAST(NULL AS MAP<STRING, INT>) AS x"),
+    "null struct": ("named_struct('a', CAST(NULL AS INT)) AS x", "CAST(NULL AS STRUCT<a: INT>) AS x"),
+    "bytes": ("X'00' AS x", "X'0000' AS x"),
+    "decimals": ("CAST(1.1 AS DECIMAL(30,2)) AS x", "CAST(1.11 AS DECIMAL(30,2)) AS x"),
+    "days": ("DATE '2030-01-01' AS x", "DATE '2030-01-02' AS x"),
+    "truth": ("true AS x", "false AS x"),
+}
+
+
+@pytest.mark.parametrize("pair", PAIRS)
+def test_typed_hashes_tell_apart(spark, pair):
+    a, b = (content_checksum(spark.sql(f"SELECT {row}")).first() for row in PAIRS[pair])
+    assert a != b and a.row_count == b.row_count == 1
+
+
+def test_typed_hashes_of_many_columns(spark):
+    """More flags than one number holds; each column counts."""
+    columns = [F.when(F.col("id") != i, F.lit(1.5)).alias(f"c {i}.") for i in range(70)]
+    wide = spark.range(71).select(*columns)
+    assert hashed(wide).distinct().count() == 71
+
+
+def test_map_entries_in_any_order(spark):
+    a, b = (spark.sql(f"SELECT map({m}) AS x") for m in ("'a', 1, 'b', 2", "'b', 2, 'a', 1"))
+    assert content_checksum(a).first() == content_checksum(b).first()
 
 
 def test_positional_mismatches_against_brute_force(spark):

@@ -129,30 +129,36 @@ def test_manifests_and_changes(spark, tmp_path):
     assert sorted(row.row_count for row in contents.collect()) == [3, 10]
 
 
-def test_manifest_by_ranges(spark, tmp_path, monkeypatch):
-    """Files of any size, whose ranges go to several tasks; both ways give the same digests."""
+def test_manifests_of_any_size(spark, tmp_path, monkeypatch):
+    """The true hash, and ranges that go to several tasks; all ways of reading give the same."""
     sizes = {"one": 1, "even": 3000, "odd one": 3001, "small": 1000, "large": 900_000}
-    want = set()
+    want, ranges = set(), set()
     for name, size in sizes.items():
         data = random.Random(size).randbytes(size)
         (tmp_path / name).write_bytes(data)
         parts = [hashlib.sha256(data[i : i + 1000]).hexdigest() for i in range(0, size, 1000)]
-        digest = hashlib.sha256(data).hexdigest() if size <= 1000 else hashlib.sha256("".join(parts).encode()).hexdigest()
-        want.add((name, size, digest))
+        want.add((name, size, hashlib.sha256(data).hexdigest()))
+        ranges.add((name, size, hashlib.sha256("".join(parts).encode()).hexdigest()))
+    monkeypatch.setattr(files, "RANGE", 1000)
     for stores in (files.ARROW_STORES, ()):
         monkeypatch.setattr(files, "ARROW_STORES", stores)
-        got = files.file_manifest(spark, [str(tmp_path)], piece=1000).collect()
-        assert {(r.path.rsplit("/", 1)[1], r.bytes, r.sha256) for r in got} == want and len(got) == len(want)
+        for wanted, manifest in ((want, files.file_manifest), (ranges, lambda *a: files.range_manifest(*a, piece=1000))):
+            got = [tuple(r) for r in manifest(spark, [str(tmp_path)]).collect()]
+            assert {(path.rsplit("/", 1)[1], size, digest) for path, size, digest in got} == wanted
+            assert len(got) == len(wanted)
 
 
-def test_manifest_beyond_two_gib(spark, tmp_path):
+def test_manifests_beyond_two_gib(spark, tmp_path):
     """A file that no value of Spark can hold; sparse, so it takes no room."""
     size = 2**31 + 5
     with open(tmp_path / "big", "wb") as f:
         f.truncate(size)
+    with open(tmp_path / "big", "rb") as f:
+        whole = hashlib.file_digest(f, "sha256").hexdigest()
+    assert as_set(files.file_manifest(spark, [str(tmp_path)]).select("bytes", "sha256")) == [(size, whole)]
     full, last = (hashlib.sha256(bytes(n)).hexdigest() for n in (files.RANGE, size % files.RANGE))
     want = hashlib.sha256((full * (size // files.RANGE) + last).encode()).hexdigest()
-    assert as_set(files.file_manifest(spark, [str(tmp_path)]).select("bytes", "sha256")) == [(size, want)]
+    assert as_set(files.range_manifest(spark, [str(tmp_path)]).select("bytes", "ranges_sha256")) == [(size, want)]
 
 
 def test_storage_stats(spark, raw_dir):

@@ -5,7 +5,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 
 from tripledger.contract import COLUMN_COMMENTS, TABLE_COMMENTS, Bounds
-from tripledger.operators.compare import checksums, database_tables
+from tripledger.operators.compare import content_checksums, database_tables
 from tripledger.operators.facts import PARTITION
 from tripledger.operators.quality import gate
 from tripledger.operators.staging import OUTCOME
@@ -93,4 +93,4 @@ def audit_publish(
 def environment_checksums(spark: SparkSession, database: str, names: list[str]) -> DataFrame:
     """Checksum of each published table, to prove later that an environment did not change."""
     tables = database_tables(spark, database, names)
-    return checksums({name: df for name, df in tables.items() if df is not None})
+    return content_checksums({name: df for name, df in tables.items() if df is not None})

@@ -9,45 +9,74 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripledger.operators.compare import checksum_columns, row_fingerprint
+from tripledger.operators.compare import content_columns, hashed
 
 RANGE = 64 * 2**20
 ONE_VALUE = 2_000_000_000  # Spark holds no longer value than 2 GiB
 ARROW_STORES = ("file", "s3", "s3a", "gs")  # pyarrow opens them without further libraries
 
 
-def file_manifest(spark: SparkSession, paths: Sequence[str], piece: int = RANGE) -> DataFrame:
-    """Path, size and SHA-256 of each file's bytes. Of a file of more than ``piece`` bytes, it is
-    the SHA-256 of the hexadecimal SHA-256 of its ranges of ``piece`` bytes, joined in order.
+def file_manifest(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Path, size and SHA-256 of each file's bytes, as any other tool computes it.
 
-    Longer files are dealt out by ranges and read in blocks by pyarrow. In stores that may be open
-    to Spark only, this holds for files over 2 GB; the others are one value of a task there.
+    A hash of one file is one chain of steps, so a task takes a file, in blocks of bounded size;
+    files go to tasks one by one. For files so large that this takes too long there is
+    ``range_manifest``. In stores that pyarrow may not reach, a file of up to 2 GB is one value of a
+    task, and a larger one fails.
     """
-    files = spark.read.format("binaryFile").load(list(paths))
-    known = all(re.match(r"\w+", name)[0] in ARROW_STORES for name in files.inputFiles())
+    files, known = _listed(spark, paths)
+    size = F.col("length")
+    small = size <= (RANGE if known else F.lit(2**62))
+    whole = files.where(small).select("path", size.alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    if not known:
+        return whole
+    large = files.where(~small).select("path", size.alias("bytes"), F.lit(0).cast("long").alias("start"), size.alias("end"))
+    return whole.unionAll(_dealt(large).select("path", "bytes", F.col("digest").alias("sha256")))
+
+
+def range_manifest(spark: SparkSession, paths: Sequence[str], piece: int = RANGE) -> DataFrame:
+    """Path, size and ``ranges_sha256`` of each file: the SHA-256 of the hexadecimal SHA-256 of its
+    ranges of ``piece`` bytes, joined in order, for files of any size. An empty file has one empty
+    range.
+
+    Ranges are dealt to tasks and read in blocks by pyarrow. In stores that may be open to Spark only,
+    files of up to 2 GB are one value of a task.
+    """
+    files, known = _listed(spark, paths)
     limit = piece if known else max(piece, ONE_VALUE)
     size = F.col("length")
-    whole = files.where(size <= limit).select(
-        "path", size.alias("bytes"), _value_digest(F.col("content"), size, piece).alias("sha256")
-    )
-    ranges = files.where(size > limit).select(
-        "path", size.alias("bytes"), F.explode(F.sequence(F.lit(0), size - 1, F.lit(piece))).alias("start")
-    )
-    # few and tiny rows of much work each: a number of partitions keeps them from being merged
-    dealt = ranges.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "start")
-    hashed = dealt.mapInArrow(_range_digests(piece), "path string, bytes long, start long, digest string")
+    digest = _value_digest(F.col("content"), size, piece).alias("ranges_sha256")
+    whole = files.where(size <= limit).select("path", size.alias("bytes"), digest)
+    starts = F.explode(F.sequence(F.lit(0), size - 1, F.lit(piece))).alias("start")
+    ranges = files.where(size > limit).select("path", size.alias("bytes"), starts)
+    ranges = ranges.withColumn("end", F.least(F.col("start") + piece, F.col("bytes")))
     digests = F.array_sort(F.collect_list(F.struct("start", "digest")))["digest"]
-    joined = hashed.groupBy("path", "bytes").agg(F.sha2(F.array_join(digests, ""), 256).alias("sha256"))
-    return whole.unionAll(joined)
+    joined = F.sha2(F.array_join(digests, ""), 256).alias("ranges_sha256")
+    return whole.unionAll(_dealt(ranges).groupBy("path", "bytes").agg(joined))
+
+
+def _listed(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, bool]:
+    """The files, and whether pyarrow opens their stores."""
+    files = spark.read.format("binaryFile").load(list(paths))
+    return files, all(re.match(r"\w+", name)[0] in ARROW_STORES for name in files.inputFiles())
+
+
+def _dealt(ranges: DataFrame) -> DataFrame:
+    """``digest`` of each range (path, bytes, start, end). They are few and tiny rows of much work
+    each: a number of partitions keeps them from being merged."""
+    tasks = int(ranges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return ranges.repartition(tasks, "path", "start").mapInArrow(
+        _range_digests(), "path string, bytes long, start long, end long, digest string"
+    )
 
 
 def _value_digest(content: Column, size: Column, piece: int) -> Column:
     starts = F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), F.lit(piece))
     digests = F.transform(starts, lambda i: F.sha2(F.substring(content, (i + 1).cast("int"), F.lit(piece)), 256))
-    return F.when(size <= piece, F.sha2(content, 256)).otherwise(F.sha2(F.array_join(digests, ""), 256))
+    return F.sha2(F.array_join(digests, ""), 256)
 
 
-def _range_digests(piece: int) -> Callable:
+def _range_digests() -> Callable:
     def opened(path: str):
         scheme, store, inside = re.fullmatch(r"(\w+):(?://([^/]*))?(/.*)", path).groups()
         if scheme == "file":
@@ -67,24 +96,22 @@ def _range_digests(piece: int) -> Callable:
                 start += len(block)
         return found.hexdigest()
 
-    def hashed(batches):
+    def with_digests(batches):
         for batch in batches:
-            rows = batch.to_pylist()
-            digests = [digest(r["path"], r["start"], min(r["start"] + piece, r["bytes"])) for r in rows]
+            digests = [digest(r["path"], r["start"], r["end"]) for r in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.string())], names=[*batch.schema.names, "digest"])
 
-    return hashed
+    return with_digests
 
 
 def table_manifest(df: DataFrame, part: Column | None = None) -> DataFrame:
     """Row count and content checksum per file behind a table scan, or per ``part``, an
     expression over the file path such as a partition folder.
 
-    The checksum adds up row fingerprints, so one large file is read by many tasks.
+    The checksum adds up row hashes, so one large file is read by many tasks.
     """
     path = F.col("_metadata.file_path") if part is None else part
-    rows = df.select(path.alias("path"), row_fingerprint(df.columns).alias("fingerprint"))
-    return rows.groupBy("path").agg(*checksum_columns("fingerprint"))
+    return hashed(df, path.alias("path")).groupBy("path").agg(*content_columns("h0", "h1"))
 
 
 def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -101,14 +128,14 @@ def changed_files(before: DataFrame, after: DataFrame) -> DataFrame:
     return old.join(new, "path", "full_outer").select("path", status.alias("status"))
 
 
-def storage_stats(spark: SparkSession, tables: dict[str, str]) -> DataFrame:
+def storage_stats(spark: SparkSession, tables: dict[str, str], pattern: str = "*.parquet") -> DataFrame:
     """Files and MiB per stored table, from file listings alone (no data is read)."""
     listings = None
     for name, path in tables.items():
         files = (
             spark.read.format("binaryFile")
             .option("recursiveFileLookup", True)
-            .option("pathGlobFilter", "*.parquet")
+            .option("pathGlobFilter", pattern)
             .load(path)
             .select(F.lit(name).alias("table_name"), "length")
         )
