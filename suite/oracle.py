@@ -267,6 +267,42 @@ def _checksum(name: str) -> str:
     )
 
 
+def _order_files(body: str) -> str:
+    """Over the text files of a thousand order keys each: part, bytes, sha256."""
+    return f"""
+        WITH written AS (
+            SELECT o_orderkey // 1000 AS part, string_agg(
+                o_orderkey || '|' || o_orderstatus || '|' || o_orderpriority, chr(10) ORDER BY o_orderkey
+            ) || chr(10) AS content
+            FROM orders GROUP BY 1
+        ), files AS (SELECT part, strlen(content) AS bytes, sha256(content) AS sha256 FROM written)
+        {body}"""
+
+
+#: Each altered table: what the report says about it.
+SCHEMA_ERRORS = {
+    "orders": None,
+    "events": "column 4: ('value', 'double') against ('value', 'decimal(20,6)')",
+    "customer": "column 1: ('c_name', 'string') against ('C_name', 'string')",
+    "part": "column 0: ('p_partkey', 'bigint') against ('p_name', 'string'); "
+    "column 1: ('p_name', 'string') against ('p_partkey', 'bigint')",
+    "supplier": "4 columns against 3",
+    "nation": "3 columns against 4",
+    "region": "region missing in altered",
+}
+
+
+def _schema_row(name: str, error: str | None) -> str:
+    rows = "CAST(NULL AS BIGINT)" if name == "region" else f"(SELECT COUNT(*) FROM {name})"
+    same = "NULL::BOOLEAN" if name == "region" else str(error is None)
+    text = "NULL::VARCHAR" if error is None else "'" + error.replace("'", "''") + "'"
+    return (
+        f"SELECT '{name}' AS table_name, {same} AS same_schema, {rows} AS baseline_rows, "
+        f"{rows} AS candidate_rows, {'0' if error is None else 'NULL'}::BIGINT AS nonfinite_rows, "
+        f"{error is None} AS equivalent, {text} AS error"
+    )
+
+
 def _completeness(group: str, member: str, expected: list[str], source: str) -> str:
     names = ", ".join(f"'{name}'" for name in expected)
     counts = [
@@ -636,6 +672,20 @@ def oracles() -> dict[str, str]:
             "(SELECT COUNT(*) FROM stg_trips) - (SELECT COUNT(*) FROM fct_trips)",
             *tables,
         ),
+        "new_month": all_daily,
+        "schema_report": " UNION ALL ".join(_schema_row(*item) for item in SCHEMA_ERRORS.items()),
+        "text_manifest": _order_files("SELECT part, bytes, sha256 FROM files"),
+        "text_storage": _order_files(
+            "SELECT 'orders' AS table_name, COUNT(*) AS files, SUM(bytes) / 1048576.0::DOUBLE AS size_mib FROM files"
+        ),
+        "records_read": """
+            SELECT 'valid' AS record_set, TRUE AS accepted, scenario, implementation,
+                COALESCE(MAX(value) FILTER (WHERE event_type = implementation), 0) AS execution_seconds,
+                COUNT(*) AS input_rows
+            FROM (SELECT *, 'h' || strftime(ts, '%H') AS scenario FROM events),
+                unnest(['view', 'signup', 'error', 'click', 'purchase']) AS kinds(implementation)
+            GROUP BY scenario, implementation
+            UNION ALL SELECT unnest(['failed', 'incomplete', 'mixed']), FALSE, NULL, NULL, NULL, NULL""",
         "write_audit_publish": sql(
             " UNION ALL ".join(
                 f"SELECT '{name}' AS table_name, (SELECT COUNT(*) FROM {source}) AS row_count"

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from tripledger.contract import TABLES
 from tripledger.functions.numeric import exact_sums
 from tripledger.operators import compare, facts, groups, metrics, quality, records, refresh, staging
-from tripledger.plans.build import build_summary, build_tables, restate
+from tripledger.plans.build import append, build_summary, build_tables, restate
 from tripledger.plans.publish import (
     POINTER,
     audit_publish,
@@ -439,6 +439,15 @@ def restated_monthly(spark, sf):
     return after.table(spark, "monthly_metrics")
 
 
+@query
+def new_month(spark, sf):
+    """The daily table of a build to which the trips of a last month were added later."""
+    raw = order_trips(spark, sf)
+    arrived = F.coalesce(F.col("tpep_dropoff_datetime") >= F.lit(dt.datetime(1998, 10, 1)), F.lit(False))
+    before = build_tables(raw.where(~arrived), order_zones(spark, sf), ORDER_BOUNDS)
+    return append(before, raw.where(arrived), ORDER_BOUNDS).table(spark, "daily_metrics")
+
+
 @query
 def logic_change_diff(spark, sf):
     before = _build(spark, sf)
@@ -507,6 +516,23 @@ def table_checksum(spark, sf):
     return compare.checksums(tables)
 
 
+@query
+def schema_report(spark, sf):
+    """What the comparison says about tables whose columns differ in type, name, order or number, about
+    one that is missing, and about one that is the same."""
+    names = ["orders", "events", "customer", "part", "supplier", "nation", "region"]
+    before = {name: table(spark, sf, name) for name in names}
+    after = dict(before)
+    after["events"] = before["events"].withColumn("value", F.col("value").cast("decimal(20,6)"))
+    after["customer"] = before["customer"].withColumnRenamed("c_name", "C_name")
+    after["part"] = before["part"].select(*reversed(before["part"].columns[:2]), *before["part"].columns[2:])
+    after["supplier"] = before["supplier"].drop("s_acctbal")
+    after["nation"] = before["nation"].withColumn("n_note", F.lit("x"))
+    after["region"] = None
+    report = compare.compare_all(spark, before, {"altered": after}, count_differences=False)
+    return report.drop("candidate", "differing_rows")
+
+
 # --- publishing ----------------------------------------------------------------------------
 
 
@@ -688,6 +714,30 @@ def file_manifest(spark, sf):
     return files.file_manifest(spark, [f"{sf.rstrip('/')}/*.parquet"])
 
 
+def _order_files(spark: SparkSession, sf: str) -> str:
+    """Orders as text files of a thousand order keys each, in the order of the keys."""
+    path = fresh_dir(spark, "lines")
+    line = F.concat_ws("|", "o_orderkey", "o_orderstatus", "o_orderpriority")
+    rows = table(spark, sf, "orders").select("o_orderkey", F.expr("o_orderkey div 1000").alias("part"), line.alias("line"))
+    rows = rows.repartition("part").sortWithinPartitions("part", "o_orderkey")
+    rows.select("part", "line").write.option("lineSep", "\n").partitionBy("part").text(path)
+    return path
+
+
+@query
+def text_manifest(spark, sf):
+    """Size and SHA-256 of files whose bytes are known."""
+    found = files.file_manifest(spark, [f"{_order_files(spark, sf)}/*"])
+    part = F.regexp_extract("path", r"part=(\d+)", 1).cast("bigint")
+    return found.select(part.alias("part"), "bytes", "sha256")
+
+
+@query
+def text_storage(spark, sf):
+    """Number and size of files whose bytes are known."""
+    return files.storage_stats(spark, {"orders": _order_files(spark, sf)}, "part-*")
+
+
 @query
 def changed_files(spark, sf):
     raw = order_trips(spark, sf).withColumn("upload_year", F.year("tpep_dropoff_datetime"))
@@ -740,6 +790,57 @@ def record_set_problems(spark, sf):
     return records.set_problems(_records(spark, sf), EVENT_TYPES)
 
 
+HOURS = [f"h{hour:02d}" for hour in range(24)]
+
+
+def _hourly_records(spark: SparkSession, sf: str) -> DataFrame:
+    """A valid set of records: for each hour of the day, one for each type of event."""
+    n = F.col("n")
+    largest = [F.coalesce(F.max(F.when(F.col("event_type") == kind, F.col("value"))), F.lit(0.0)) for kind in EVENT_TYPES]
+    pairs = [F.struct(F.lit(kind).alias("kind"), x.alias("largest")) for kind, x in zip(EVENT_TYPES, largest)]
+    hour = F.concat(F.lit("h"), F.lpad(F.hour("ts").cast("string"), 2, "0"))
+    hours = table(spark, sf, "events").groupBy(hour.alias("scenario")).agg(F.count("*").alias("n"), F.array(*pairs).alias("pairs"))
+    fixed = {
+        "run_id": "events", "dataset_kind": "events", "dataset_months": 1, "dataset_year": 2024, "start_month": 1,
+        "strategy": "stream", "timestamp": "2024-01-31", "exit_code": 0, "status": "verified", "equivalent": True,
+    }
+    own = {
+        "scenario": F.col("scenario"), "implementation": F.col("kind"), "input_rows": n, "rows_processed": n,
+        "output_rows": F.create_map(F.lit("events"), n), "execution_seconds": F.col("largest"),
+        "models_executed": F.array("kind"), "database_size_mb": n.cast("double"),
+    }
+    values = {name: F.lit(value) for name, value in fixed.items()} | own
+    rows = hours.select("scenario", "n", F.inline("pairs"))
+    return rows.select(*(values[f.name].cast(f.dataType).alias(f.name) for f in records.RECORD_SCHEMA))
+
+
+@query
+def records_read(spark, sf):
+    """Records read from files: a valid set, in display order, and three sets that a single record
+    spoils."""
+    valid = materialize(_hourly_records(spark, sf), "records")
+    one = (F.col("scenario") == "h05") & (F.col("implementation") == "click")
+    sets = {
+        "valid": valid,
+        "failed": valid.withColumn("status", F.when(one, "failed").otherwise(F.col("status"))),
+        "incomplete": valid.where(~one),
+        "mixed": valid.withColumn("input_rows", F.col("input_rows") + one.cast("int")),
+    }
+    shown = ["scenario", "implementation", "execution_seconds", "input_rows"]
+    out = None
+    for name, rows in sets.items():
+        path = fresh_dir(spark, "records")
+        sinks.write_json(rows, path)
+        try:
+            found = records.load_measurements(spark, path, EVENT_TYPES, HOURS, array=False)
+            found = found.select(F.lit(name).alias("record_set"), F.lit(True).alias("accepted"), *shown)
+        except records.InvalidRecords:
+            nothing = [F.lit(None).cast(valid.schema[c].dataType).alias(c) for c in shown]
+            found = spark.range(1).select(F.lit(name).alias("record_set"), F.lit(False).alias("accepted"), *nothing)
+        out = found if out is None else out.unionAll(found)
+    return out
+
+
 @query
 def run_summary(spark, sf):
     return records.summary(_records(spark, sf))

@@ -16,7 +16,7 @@ from tripledger.operators.quality import QualityError
 from tripledger.operators.refresh import facts_of_dates, since_last_date
 from tripledger.operators.staging import correct_fares, reject_counts
 from tripledger.plans import publish
-from tripledger.plans.build import build_from_files, build_summary, build_tables, report_for, restate, run_record
+from tripledger.plans.build import append, build_from_files, build_summary, build_tables, report_for, restate, run_record
 from tripledger.plans.publish import audit_publish, environment_checksums, point_views
 from tripledger.sources.fixture import zone_rows
 from tripledger.sources.months import read_months
@@ -138,6 +138,29 @@ def test_new_month_and_shrinking_selection(spark, raw_dir, half_year):
     assert (one.input_rows, one.rows["fct_trips"]) == (16, 7)
 
 
+def test_appended_months_equal_a_rebuild(spark, raw_dir, half_year):
+    """New months one after another, one of them with late rows and one with rejected rows only; the
+    folders of the build before stay as they are."""
+    few = build_from_files(spark, raw_dir, 2025, 4)
+    stored = {name: files_below(few, name) for name in TABLES}
+    grown = append(few, read_months(spark, raw_dir, 2025, 1, 5))
+    june = read_months(spark, raw_dir, 2025, 1, 6)
+    grown = append(grown, june.where("tpep_pickup_datetime IS NULL"))
+    grown = append(grown, june.where("tpep_pickup_datetime IS NOT NULL"))
+    assert (grown.input_rows, grown.rows) == (half_year.input_rows, half_year.rows)
+    report = compare_all(spark, half_year.tables(spark), {"grown": grown.tables(spark)}, False)
+    assert report.where("NOT equivalent").isEmpty()
+    assert as_set(grown.rejects(spark)) == as_set(half_year.rejects(spark))
+    assert {name: files_below(few, name) for name in TABLES} == stored
+    again = append(grown, read_months(spark, raw_dir, 2025, 1, 1))  # late rows of an old month
+    daily, before = (b.table(spark, "daily_metrics").where("date < '2025-02-01'") for b in (again, grown))
+    assert daily.agg(F.sum("trip_count")).first()[0] == 2 * before.agg(F.sum("trip_count")).first()[0]
+
+
+def files_below(build, name):
+    return sorted(glob.glob(f"{parts(build.paths[name])[0][0]}/**/*.parquet", recursive=True))
+
+
 def test_facts_are_read_by_month(spark, half_year):
     stored = spark.read.parquet(half_year.paths["fct_trips"])
     late = since_last_date(half_year.facts(spark), spark.sql("SELECT DATE '2025-05-15' AS date"))

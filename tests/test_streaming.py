@@ -1,3 +1,5 @@
+from functools import partial
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +55,41 @@ def test_repeated_batch_changes_nothing(spark, dim, tmp_path):
     assert ingest.latest(spark, f"{target}/daily", "date").agg(F.sum("trip_count")).first()[0] == 14
 
 
+def test_batches_of_equal_work(spark, dim, tmp_path, monkeypatch):
+    """A batch reads one version of the months it touches, however many batches there were, and may
+    be repeated."""
+    inbox, read = str(tmp_path / "inbox"), []
+    versions = ingest._versions
+
+    def counted(*args):
+        found = versions(*args)
+        read.append(len(found.inputFiles()))
+        return found
+
+    monkeypatch.setattr(ingest, "_versions", counted)
+    months = month_rows(spark, 2025, 2).persist()
+    for i in range(6):
+        drop(spark, inbox, f"drop{i}", months)
+    everything = spark.read.schema(RAW_TRIP_SCHEMA).option("recursiveFileLookup", True).parquet(inbox)
+    expected = daily_metrics(fct_trips(stage(everything), dim))
+    for attempt in ("a", "b"):
+        # A new checkpoint makes the same batches arrive again.
+        monkeypatch.setattr(ingest, "_run", partial(_elsewhere, ingest_run, str(tmp_path / attempt)))
+        stream = ingest.read_drops(spark, inbox, RAW_TRIP_SCHEMA, files_per_batch=1)
+        ingest.stream_daily(stream, dim, str(tmp_path / "out")).awaitTermination()
+        daily = ingest.latest(spark, f"{tmp_path}/out/daily_state", "date").select(*expected.columns)
+        assert as_set(daily) == as_set(expected)
+    touched = everything.select(F.trunc("tpep_pickup_datetime", "MM")).distinct().count()
+    assert len(read) == 10 and max(read) <= touched
+
+
+ingest_run = ingest._run
+
+
+def _elsewhere(run, checkpoint, stream, mode, _, sink):
+    return run(stream, mode, checkpoint, sink)
+
+
 def test_streaming_state(spark, dim, tmp_path):
     inbox = str(tmp_path / "inbox")
     drop(spark, inbox, "first", month_rows(spark, 2025, 2))

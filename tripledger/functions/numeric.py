@@ -134,6 +134,13 @@ def partial_sums(
     return rows.groupBy(*keys, F.col("_e.slot").alias(SLOT)).agg(*map(F.expr, sums))
 
 
+def combine_sums(parts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Partial sums of several sets of rows as those of all the rows, again one row per keys and
+    SLOT."""
+    sums = [c for c in parts.columns if c not in (*keys, SLOT)]
+    return parts.groupBy(*keys, SLOT).agg(*(F.sum(c).alias(c) for c in sums)).select(*parts.columns)
+
+
 def _carried(limbs: str) -> str:
     """(carry, digits): limbs carried from the lowest up; carry is 0, or -1 for a negative total."""
     here = "(s.carry + d)"

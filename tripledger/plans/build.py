@@ -13,12 +13,12 @@ from tripledger.operators.facts import PARTITION, between_dates, dim_zones, fct_
 from tripledger.operators.metrics import daily_metrics, monthly_metrics, zone_metrics
 from tripledger.operators.quality import quality_report
 from tripledger.operators.records import RECORD_SCHEMA
-from tripledger.operators.refresh import overwrite_range
+from tripledger.operators.refresh import overwrite_range, refresh_touched
 from tripledger.operators.staging import ACCEPTED, OUTCOME, stage, write_classified
 from tripledger.sources.files import storage_stats
 from tripledger.sources.months import read_months
 from tripledger.sources.sinks import write_table
-from tripledger.sources.versions import location, parts, read_location, replaced
+from tripledger.sources.versions import extended, location, parts, read_location, replaced
 from tripledger.sources.workdir import fresh_dir
 from tripledger.sources.zones import check_zone_lookup, read_zone_csv
 
@@ -149,6 +149,35 @@ def restate(
     return done
 
 
+def append(previous: Build, raw: DataFrame, bounds: Bounds = Bounds()) -> Build:
+    """Add raw rows that arrived after a build, such as the file of a new month, whatever dates they
+    have. The result equals a full rebuild from all rows.
+
+    Only the new rows are staged and joined; the new build names the folders of the previous one
+    beside its own, so nothing is copied. Of the daily table the dates that occur in the new facts are
+    recomputed, from the months that hold them; the small tables over all history are written anew.
+    Every addition adds a folder per table: rebuild once there are many.
+    """
+    spark = raw.sparkSession
+    done = _new_build(spark)
+    done.variant = previous.variant
+    _store_trips(spark, done, raw, bounds)
+    done.input_rows = previous.input_rows + done.classified(spark).count()
+    added = done.table(spark, "stg_trips")
+    done.trips = extended(previous.trips, done.trips)
+    name = "dim_zones"
+    done.paths[name], done.rows[name], done.schemas[name] = previous.paths[name], previous.rows[name], previous.schemas[name]
+    new = _store(spark, done, "fct_trips", fct_trips(added, done.table(spark, name), done.variant), write_facts)
+    for name in ("stg_trips", "fct_trips"):
+        # a table partitioned by month has no files where it got no rows
+        some = done.rows[name] > 0
+        done.paths[name] = extended(previous.paths[name], done.paths[name]) if some else previous.paths[name]
+        done.rows[name] += previous.rows[name]
+    daily = refresh_touched(previous.table(spark, "daily_metrics"), done.facts(spark), new, daily_metrics)
+    _store_metrics(spark, done, done.table(spark, "fct_trips"), daily)
+    return done
+
+
 def _new_build(spark: SparkSession) -> Build:
     base = fresh_dir(spark, "build")
     return Build({name: f"{base}/{name}" for name in TABLES})

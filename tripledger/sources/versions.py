@@ -29,6 +29,11 @@ def replaced(newer: str, older: str, gone: str) -> str:
     return location(*parts(newer), *((folder, [*c, rest]) for folder, c in parts(older)))
 
 
+def extended(older: str, newer: str) -> str:
+    """The location of a table to which rows were added."""
+    return location(*parts(older), *parts(newer))
+
+
 def read_location(spark: SparkSession, where: str, schema: T.StructType) -> DataFrame:
     """All parts, with the columns of ``schema``, which has those that conditions mention."""
     out = None

@@ -1,6 +1,7 @@
 """Month files as a stream: each file is cleaned, added to the facts, and only the dates it
 touches are recomputed, however old they are."""
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tripledger.contract import Bounds
 from tripledger.operators.facts import PARTITION, fct_trips, write_facts
-from tripledger.functions.numeric import SLOT
+from tripledger.functions.numeric import combine_sums
 from tripledger.operators.metrics import daily_from_parts, daily_metrics, daily_parts
 from tripledger.operators.refresh import facts_of_dates, touched_dates
 from tripledger.operators.staging import classify_rejects, stage, typed_trips
@@ -46,12 +47,9 @@ def _replace(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
 
 
-def latest(spark: SparkSession, path: str, *keys: str, batch: int | None = None) -> DataFrame:
-    """The newest version of each key among the ``batch=<n>`` folders of a table, of those up to
-    ``batch`` if one is given."""
+def latest(spark: SparkSession, path: str, *keys: str) -> DataFrame:
+    """The newest version of each key among the ``batch=<n>`` folders of a table."""
     versions = spark.read.parquet(path)
-    if batch is not None:
-        versions = versions.where(F.col("batch") <= batch)
     columns = [name for name in versions.columns if name not in (*keys, "batch")]
     newest = F.max_by(F.struct(*columns), F.col("batch")).alias("_newest")
     return versions.groupBy(*keys).agg(newest).select(*keys, "_newest.*")
@@ -106,19 +104,47 @@ def stream_rejects(
 def stream_daily(
     trips: DataFrame, dim: DataFrame, target: str, bounds: Bounds = Bounds()
 ) -> StreamingQuery:
-    """Daily metrics in ``<target>/daily_state`` from streaming state, with no watermark: a late
-    row always counts. The state has the partial sums of each date, a few rows by the magnitude of
-    its values; each batch stores those it changed, and the metrics of their dates."""
-    parts = daily_parts(fct_trips(stage(trips, bounds), dim))
+    """Daily metrics in ``<target>/daily_state`` from running partial sums, with no watermark: a late
+    row always counts. ``latest`` with key ``date`` reads them.
+
+    The partial sums are kept in whole months. A batch adds its own to the newest version of the
+    months it touches and writes these anew, below ``daily_parts/batch=<n>``; ``daily_heads/batch=<n>``
+    names the newest version of every month, one row each. So a batch reads its own rows, the heads of
+    the batch before and the months it touches, however many batches there were. A repeated batch
+    starts from the heads of the batch before again, and replaces its own folders.
+    """
 
-    def one_batch(rows: DataFrame, batch: int) -> None:
-        spark = rows.sparkSession
-        _replace(rows, f"{target}/daily_parts/batch={batch}")
-        changed = spark.read.schema(rows.schema).parquet(f"{target}/daily_parts/batch={batch}")
-        dates = changed.select(F.col("date").alias("_date")).distinct()
-        keys = ("date", SLOT)
-        now = latest(spark, f"{target}/daily_parts", *keys, batch=batch)
-        now = now.join(dates, F.col("date").eqNullSafe(F.col("_date")), "left_semi")
-        _replace(daily_from_parts(now), f"{target}/daily_state/batch={batch}")
-
-    return _run(parts, "update", f"{target}/checkpoints/daily", one_batch)
+    def one_batch(raw: DataFrame, batch: int) -> None:
+        spark = raw.sparkSession
+        added = materialize(daily_parts(fct_trips(stage(raw, bounds), dim)), "parts")
+        month = F.trunc("date", "MM").alias("month")
+        # months and their heads: the calendar bounds them
+        touched = [row.month for row in added.select(month).distinct().collect()]
+        heads = _heads(spark, target, batch - 1)
+        whole = added
+        if known := {m: heads[m] for m in touched if m in heads}:
+            whole = combine_sums(added.unionByName(_versions(spark, target, added.schema, known)), ["date"])
+        parts = f"{target}/daily_parts/batch={batch}"
+        whole = whole.select("*", month).repartition("month")
+        whole.write.mode("overwrite").option("compression", "zstd").partitionBy("month").parquet(parts)
+        _replace(daily_from_parts(spark.read.schema(added.schema).parquet(parts)), f"{target}/daily_state/batch={batch}")
+        now = heads | {m: batch for m in touched}
+        _replace(spark.createDataFrame(list(now.items()), HEADS), f"{target}/daily_heads/batch={batch}")
+
+    return _run(trips, "append", f"{target}/checkpoints/daily", one_batch)
+
+
+HEADS = "month date, head bigint"
+
+
+def _heads(spark: SparkSession, target: str, batch: int) -> dict[dt.date, int]:
+    """The batch that holds the newest version of each month, after ``batch``."""
+    if batch < 0:
+        return {}
+    return dict(map(tuple, spark.read.schema(HEADS).parquet(f"{target}/daily_heads/batch={batch}").collect()))
+
+
+def _versions(spark: SparkSession, target: str, schema: T.StructType, heads: dict[dt.date, int]) -> DataFrame:
+    """The partial sums of some months, in the versions that ``heads`` names."""
+    folders = [f"{target}/daily_parts/batch={batch}/month={month}" for month, batch in heads.items()]
+    return spark.read.schema(schema).parquet(*folders)
