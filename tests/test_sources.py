@@ -1,6 +1,8 @@
 import hashlib
 import random
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
@@ -49,6 +51,37 @@ def test_schema_drift(spark, tmp_path):
     ]
 
 
+def test_drift_within_a_folder(spark, tmp_path):
+    spark.sql("SELECT 1L AS id, 5L AS n").write.parquet(f"{tmp_path}/a/day=1")
+    spark.sql("SELECT 2L AS id, 2.5D AS n, 'x' AS extra").write.parquet(f"{tmp_path}/a/day=2")
+    spark.sql("SELECT 3L AS id, 7L AS n").write.parquet(f"{tmp_path}/b b")
+    both = months.read_union_by_name(spark, [f"{tmp_path}/a", f"file:{tmp_path}/b b/"])
+    assert as_set(both.select("id", "n", "extra", "day")) == [
+        (1, 5.0, None, 1),
+        (2, 2.5, "x", 2),
+        (3, 7.0, None, None),
+    ]
+
+
+def test_footers_of_many_files_in_one_job(spark, tmp_path):
+    kinds = ("id bigint, n bigint", "id bigint, n double, extra string", "id bigint")
+    for i in range(300):
+        fields = {"id": [i], "n": [i * 1.0 if i % 3 else i], "extra": ["x"]}
+        names = [f.split()[0] for f in kinds[i % 3].split(", ")]
+        pq.write_table(pa.table({name: fields[name] for name in names}), f"{tmp_path}/f{i}.parquet")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("footers", "read")
+    try:
+        df = months.read_union_by_name(spark, [f"{tmp_path}/f{i}.parquet" for i in range(300)])
+        # a listing, a job (with its shuffle) for the footers, one for each schema and one for each scan
+        assert len(tracker.getJobIdsForGroup("footers")) <= 12
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+    assert df.count() == 300 and df.where("extra = 'x'").count() == 100
+    with pytest.raises(FileNotFoundError):
+        months.read_union_by_name(spark, [f"{tmp_path}/f1.parquet", f"{tmp_path}/none.parquet"])
+
+
 def test_equal_schemas_share_a_scan(spark, raw_dir):
     plan = months.read_months(spark, raw_dir, 2025, 6)._jdf.queryExecution().optimizedPlan()
     assert "Union" not in plan.toString()

@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,9 +56,9 @@ def range_manifest(spark: SparkSession, paths: Sequence[str], piece: int = RANGE
     return whole.unionAll(_dealt(ranges).groupBy("path", "bytes").agg(joined))
 
 
-def _listed(spark: SparkSession, paths: Sequence[str]) -> tuple[DataFrame, bool]:
+def _listed(spark: SparkSession, paths: Sequence[str], recursive: bool = False) -> tuple[DataFrame, bool]:
     """The files, and whether pyarrow opens their stores."""
-    files = spark.read.format("binaryFile").load(list(paths))
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(list(paths))
     return files, all(re.match(r"\w+", name)[0] in ARROW_STORES for name in files.inputFiles())
 
 
@@ -70,13 +71,55 @@ def _dealt(ranges: DataFrame) -> DataFrame:
     )
 
 
+def parquet_layouts(spark: SparkSession, paths: Sequence[str]) -> DataFrame | None:
+    """(root, path, layout) of every Parquet file below some files or folders, ``root`` being the one
+    it was found through and ``layout`` equal for files of the same columns, types and partition
+    columns. Tasks read the footers. None where pyarrow may not reach the store."""
+    found, known = _listed(spark, paths, recursive=True)
+    found = found.where(~F.col("path").rlike("/_[^/]*$"))  # summaries of other files
+    return found.select("path").mapInArrow(_layouts(paths), "root string, path string, layout string") if known else None
+
+
+def _layouts(paths: Sequence[str]) -> Callable:
+    opened = _opener()
+    bare = re.compile(r"^\w+:(//[^/]*)?(?=/)")
+    roots = {bare.sub("", path).rstrip("/"): path for path in paths}
+
+    def root_of(path: str) -> tuple[str | None, list[str]]:
+        inside, folders = bare.sub("", path), []
+        while inside and inside not in roots:
+            inside, _, name = inside.rpartition("/")
+            folders.append(name)
+        return roots.get(inside), [name.split("=")[0] for name in folders[:0:-1] if "=" in name]
+
+    def layout(path: str, partitions: list[str]) -> str:
+        with opened(path) as file:
+            footer = pq.read_metadata(file)
+        # behind the line that names the object
+        columns = str(footer.schema).split("\n", 1)[1]
+        own = (footer.metadata or {}).get(b"org.apache.spark.sql.parquet.row.metadata", b"")
+        return hashlib.sha256("\0".join([columns, own.decode(), *partitions]).encode()).hexdigest()
+
+    def with_layouts(batches):
+        for batch in batches:
+            rows = []
+            for path in batch.column(0).to_pylist():
+                root, partitions = root_of(path)
+                rows.append({"root": root, "path": path, "layout": layout(path, partitions)})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([(c, pa.string()) for c in ("root", "path", "layout")]))
+
+    return with_layouts
+
+
 def _value_digest(content: Column, size: Column, piece: int) -> Column:
     starts = F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), F.lit(piece))
     digests = F.transform(starts, lambda i: F.sha2(F.substring(content, (i + 1).cast("int"), F.lit(piece)), 256))
     return F.sha2(F.array_join(digests, ""), 256)
 
 
-def _range_digests() -> Callable:
+def _opener() -> Callable:
+    """What opens a file in a task. A function within a function travels with its task."""
+
     def opened(path: str):
         scheme, store, inside = re.fullmatch(r"(\w+):(?://([^/]*))?(/.*)", path).groups()
         if scheme == "file":
@@ -84,6 +127,12 @@ def _range_digests() -> Callable:
         system, root = pafs.FileSystem.from_uri(f"{'s3' if scheme == 's3a' else scheme}://{store or ''}/")
         return system.open_input_file(root.rstrip("/") + inside)
 
+    return opened
+
+
+def _range_digests() -> Callable:
+    opened = _opener()
+
     def digest(path: str, start: int, end: int) -> str:
         found = hashlib.sha256()
         with opened(path) as file:

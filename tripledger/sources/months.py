@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripledger.contract import MONTH_FILE, REQUIRED_TRIP_COLUMNS
+from tripledger.sources.files import parquet_layouts
 
 
 def month_paths(
@@ -41,19 +42,40 @@ def read_union_by_name(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Read Parquet files as one table, matching columns by name.
 
     Columns a file lacks are NULL, numeric types that differ between files are widened, and
-    names differing only in case are one column. Files with equal schemas share one scan, so
-    the plan grows with the number of schemas and not with the number of files. A missing path
-    raises before anything is read or written.
+    names differing only in case are one column; files within one folder may differ, too. Files with
+    equal schemas share one scan, so the plan grows with the number of schemas and not with the
+    number of files. One job reads the footers of all files. A missing path raises before anything
+    is read or written.
     """
-    groups: dict[str, list[str]] = {}
-    for path in paths:
-        with path_must_exist(path):
-            schema = spark.read.parquet(path).schema
-        groups.setdefault(schema.json(), []).append(path)
-    if not groups:
+    if not paths:
         raise ValueError("no input paths given")
+    with path_must_exist(", ".join(paths)):
+        layouts = parquet_layouts(spark, paths)
+    if layouts is None:
+        kinds = {path: [path] for path in paths}  # Spark takes one footer of each path
+    else:
+        kinds = {path: [] for path in paths}
+        for row in layouts.where("root IS NOT NULL").select("root", "layout").distinct().collect():
+            kinds[row.root].append(row.layout)
+    groups: dict[str, list[str]] = {}
+    alone, known = [], {}
+    for path, found in kinds.items():
+        if len(found) > 1:
+            alone += _by_layout(spark, path, layouts)
+            continue
+        # paths of a layout that was met before need no look of their own
+        layout = found[0] if found else path
+        if layout not in known:
+            known[layout] = spark.read.parquet(path).schema.json()
+        groups.setdefault(known[layout], []).append(path)
     scans = [spark.read.parquet(*members) for members in groups.values()]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), scans)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [*scans, *alone])
+
+
+def _by_layout(spark: SparkSession, folder: str, layouts: DataFrame) -> list[DataFrame]:
+    """A scan for each layout that the files of a folder have."""
+    files = layouts.where(F.col("root") == folder).groupBy("layout").agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    return [spark.read.option("basePath", folder).parquet(*row.paths) for row in files.orderBy("layout").collect()]
 
 
 def read_months(
