@@ -37,8 +37,7 @@ def file_manifest(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 def range_manifest(spark: SparkSession, paths: Sequence[str], piece: int = RANGE) -> DataFrame:
     """Path, size and ``ranges_sha256`` of each file: the SHA-256 of the hexadecimal SHA-256 of its
-    ranges of ``piece`` bytes, joined in order, for files of any size. An empty file has one empty
-    range.
+    ranges of ``piece`` bytes, joined in order, for files of any size.
 
     Ranges are dealt to tasks and read in blocks by pyarrow. In stores that may be open to Spark only,
     files of up to 2 GB are one value of a task.
