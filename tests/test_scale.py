@@ -13,7 +13,7 @@ from tripledger.functions.numeric import LIMBS, exact_sums, mean_of, merge_sums,
 from tripledger.operators import joins, metrics, refresh
 from tripledger.operators.staging import stage
 from tripledger.sources import workdir
-from tripledger.sources.fixture import RAW_TRIP_SCHEMA
+from tripledger.sources.fixture import RAW_TRIP_SCHEMA, ZONES, zone_rows
 from tripledger.sources.months import read_months
 from tripledger.sources.sinks import salts, spread, with_salt, write_table
 from tripledger.sources.workdir import materialize
@@ -204,6 +204,14 @@ def test_plan_has_no_cross_join_python_or_global_window(spark, name):
         assert not re.search(r"Window \[.*\], \[\w+", plan) or "Exchange SinglePartition" not in plan
 
 
+def test_cases_are_neither_shuffled_nor_sorted_for_their_zones(spark):
+    zones = zone_rows(spark)
+    assert zones.dtypes == [("LocationID", "bigint"), ("Borough", "string"), ("Zone", "string"), ("service_zone", "string")]
+    assert list(map(tuple, zones.collect())) == ZONES
+    plan = plan_of(QUERIES["case_matrix"](spark, SF))
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
+
+
 def test_write_is_spread_with_and_without_adaptive_execution(spark, tmp_path):
     rows = spark.range(3000).select("id", (F.col("id") % 3 % 2).alias("k"))
     write_table(rows, f"{tmp_path}/adaptive", "k")

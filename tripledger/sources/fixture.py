@@ -68,26 +68,28 @@ def month_rows(spark: SparkSession, year: int, months: int, start_month: int = 1
 def case_matrix(months: DataFrame) -> DataFrame:
     """Every row of ``months`` (column ``month``, a first of month) times sixteen cases: the raw
     trip columns plus ``month``, ``row_index`` and ``case_name``. No shuffle, no randomness."""
-    rows = months.select(
-        "month", F.posexplode(F.array(*(F.lit(name) for name in CASES))).alias("row_index", "case_name")
-    )
-    rows = rows.withColumn("first", F.col("month").cast("timestamp_ntz")).withColumn(
+    rows = months.withColumn("first", F.col("month").cast("timestamp_ntz")).withColumn(
         "base", F.expr("first + INTERVAL 14 DAYS 12 HOURS")
     )
+    # the base row is computed once per month row, and its cases are told apart by number
+    base = [F.expr(BASE_ROW.get(f.name, "0.0")).cast(f.dataType).alias(f"_{f.name}") for f in RAW_TRIP_SCHEMA]
+    rows = rows.select("month", "first", "base", *base)
+    rows = rows.select("*", F.posexplode(F.array(*(F.lit(name) for name in CASES))).alias("row_index", "case_name"))
     columns = []
     for field in RAW_TRIP_SCHEMA:
-        value = F.expr(BASE_ROW.get(field.name, "0.0"))
-        for name, overrides in CASES.items():
+        value = F.col(f"_{field.name}")
+        for i, overrides in enumerate(CASES.values()):
             if field.name in overrides:
-                value = F.when(F.col("case_name") == name, F.expr(overrides[field.name])).otherwise(
-                    value
-                )
-        columns.append(value.cast(field.dataType).alias(field.name))
+                other = F.expr(overrides[field.name]).cast(field.dataType)
+                value = F.when(F.col("row_index") == i, other).otherwise(value)
+        columns.append(value.alias(field.name))
     return rows.select("month", "row_index", "case_name", *columns)
 
 
 def zone_rows(spark: SparkSession) -> DataFrame:
-    """The zone lookup that belongs to the cases."""
-    return spark.createDataFrame(
-        ZONES, "LocationID bigint, Borough string, Zone string, service_zone string"
+    """The zone lookup that belongs to the cases. Spark knows the size of literal rows, so joins to
+    it are broadcasts; that of ``createDataFrame`` it takes for too large."""
+    rows = ", ".join(map(str, ZONES))
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS zones(LocationID, Borough, Zone, service_zone)").select(
+        F.col("LocationID").cast("bigint").alias("LocationID"), "Borough", "Zone", "service_zone"
     )
